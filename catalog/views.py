@@ -64,7 +64,7 @@ SELECT concat('out_', CAST(l_suppkey % 2 AS <STR>)) AS source_dir,
        lpad(CAST((l_orderkey % 8) * 10 AS <STR>), 6, '0') AS frame_id,
        concat('obj_', CAST(l_linenumber AS <STR>)) AS object_id,
        concat(CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE '' END, lower(p_type), '-', p_name, ' ') AS class_name_raw,
-       l_orderkey, l_linenumber, l_partkey, l_quantity
+       l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "fx_boxes": """
 SELECT l_orderkey AS sample_key, l_linenumber AS k, l_partkey AS part_key, lower(p_type) AS class_name, l_extendedprice AS score,

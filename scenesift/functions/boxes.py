@@ -43,9 +43,9 @@ def footprint(b: Column) -> Column:
     return F.array(*out)
 
 
-def _clip(polygon: Column, nx: Column, ny: Column, limit: Column) -> Column:
+def _clip(polygon: Column, plane: Column) -> Column:
     """Part of a convex polygon with ``nx x + ny y <= limit``."""
-    side = lambda p: nx * p["x"] + ny * p["y"] - limit
+    side = lambda p: plane["nx"] * p["x"] + plane["ny"] * p["y"] - plane["limit"]
     n = F.size(polygon)
 
     def piece(p, i):
@@ -53,10 +53,8 @@ def _clip(polygon: Column, nx: Column, ny: Column, limit: Column) -> Column:
         here, there = side(p), side(q)
         t = F.try_divide(here, here - there)
         cut = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
-        return F.filter(
-            F.array(F.when(here <= 0, p), F.when((here < 0) & (there > 0) | (here > 0) & (there < 0), cut)),
-            lambda e: e.isNotNull(),
-        )
+        crosses = ((here < 0) & (there > 0)) | ((here > 0) & (there < 0))
+        return F.filter(F.array(F.when(here <= 0, p), F.when(crosses, cut)), lambda e: e.isNotNull())
 
     return F.flatten(F.transform(polygon, piece))
 
@@ -68,15 +66,21 @@ def _area(polygon: Column) -> Column:
         q = F.get(polygon, (i + 1) % n)
         return p["x"] * q["y"] - q["x"] * p["y"]
 
-    return F.abs(F.aggregate(F.transform(polygon, wedge), F.lit(0.0), lambda acc, w: acc + w)) / 2.0
+    total = F.aggregate(F.transform(polygon, wedge), F.lit(0.0), lambda acc, w: acc + w)
+    return F.when(n >= 3, F.abs(total) / 2.0).otherwise(F.lit(0.0))
 
 
 def _rotated_overlap(a: Column, b: Column) -> Column:
+    """Footprint overlap: the rectangle of ``a`` clipped by the four sides of ``b``.
+
+    The sides are folded one after the other, so every step works on a computed polygon.
+    """
     c, s = F.cos(b["yaw"]), F.sin(b["yaw"])
-    polygon = footprint(a)
+    sides = []
     for nx, ny, half in ((c, s, b["l"] / 2), (-c, -s, b["l"] / 2), (-s, c, b["w"] / 2), (s, -c, b["w"] / 2)):
-        polygon = _clip(polygon, nx, ny, nx * b["cx"] + ny * b["cy"] + half)
-    return F.when(F.size(polygon) >= 3, _area(polygon)).otherwise(F.lit(0.0))
+        limit = nx * b["cx"] + ny * b["cy"] + half
+        sides.append(F.struct(nx.alias("nx"), ny.alias("ny"), limit.alias("limit")))
+    return F.aggregate(F.array(*sides), footprint(a), _clip, _area)
 
 
 def intersection(a: Column, b: Column, rotated: bool = True) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenesift.functions.boxes import footprint, giou3d, iou3d
+from scenesift.functions.boxes import BOX_FIELDS, box, footprint, giou3d, iou3d
 from scenesift.session import cut_lineage
 
 # Accuracy thresholds, loss weights, and annotation quality limits.
@@ -57,18 +57,27 @@ def overlap_edges(boxes: DataFrame, group: list[str], box_id: str, threshold: fl
     """
     area = footprint(F.col("box"))
     xs, ys = F.transform(area, lambda c: c["x"]), F.transform(area, lambda c: c["y"])
-    spread_ = boxes.select(*group, box_id, "rank_key", "box", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    width = spread_.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("m")).first()["m"] or 1.0
+    flat = boxes.select(
+        *group, box_id, "rank_key", *[F.col("box")[f].alias("b_" + f) for f in BOX_FIELDS],
+        F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"),
+    )
+    width = flat.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("m")).first()["m"] or 1.0
     cell = float(max(width, 1e-9))
-    tagged = spread_
+    tagged = flat
     for axis in "xy":
         low, high = F.floor(F.col(axis + "0") / cell), F.floor(F.col(axis + "1") / cell)
-        tagged = tagged.withColumn("c" + axis, F.explode(F.sequence(low, high)))
-    left = tagged.select(*group, "cx", "cy", F.col(box_id).alias("winner"), F.col("rank_key").alias("ka"), F.col("box").alias("a"), F.col("x0").alias("ax"), F.col("y0").alias("ay"))
-    right = tagged.select(*group, "cx", "cy", F.col(box_id).alias("loser"), F.col("rank_key").alias("kb"), F.col("box").alias("b"), F.col("x0").alias("bx"), F.col("y0").alias("by"))
-    here = (F.floor(F.greatest("ax", "bx") / cell) == F.col("cx")) & (F.floor(F.greatest("ay", "by") / cell) == F.col("cy"))
-    pairs = left.join(right, group + ["cx", "cy"]).filter((F.col("ka") < F.col("kb")) & here)
-    return pairs.filter(iou3d(F.col("a"), F.col("b"), rotated) > threshold).select(*group, "winner", "loser")
+        tagged = tagged.withColumn("cell_" + axis, F.explode(F.sequence(low, high)))
+    meet = group + ["cell_x", "cell_y"]
+
+    def side(prefix, name):
+        renamed = {box_id: name, "rank_key": prefix + "rank", "x0": prefix + "x0", "y0": prefix + "y0", **{"b_" + f: prefix + f for f in BOX_FIELDS}}
+        return tagged.select(*meet, *[F.col(c).alias(n) for c, n in renamed.items()])
+
+    lower = lambda a: F.floor(F.greatest(F.col("w_" + a + "0"), F.col("l_" + a + "0")) / cell)
+    pairs = side("w_", "winner").join(side("l_", "loser"), meet)
+    pairs = pairs.filter((F.col("w_rank") < F.col("l_rank")) & (lower("x") == F.col("cell_x")) & (lower("y") == F.col("cell_y")))
+    rebuilt = [box(*[F.col(prefix + f) for f in BOX_FIELDS]) for prefix in ("w_", "l_")]
+    return pairs.filter(iou3d(*rebuilt, rotated) > threshold).select(*group, "winner", "loser")
 
 
 def nms3d(boxes: DataFrame, group: list[str], box_id: str, score: str, threshold: float, rotated: bool = True) -> DataFrame:
