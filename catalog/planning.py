@@ -52,6 +52,14 @@ def mat_cols(df, column):
     return spread_array(df, column, MAT)
 
 
+def small_cuts(s):
+    """Cut the per-frame and per-object tables that several branches of a query read."""
+    s.objects, s.grid = cut_lineage(s.objects), cut_lineage(s.grid)
+    s.own = cut_lineage(s.own)
+    s.base = cut_lineage(s.base)
+    return s
+
+
 # ---- points and grid ---------------------------------------------------------------
 
 scene_query("stride_sample", query("px", out(f"{FKC} u:i v:i d:d".replace(",", ""), "px WHERE d > 0 AND u % 2 = 0 AND v % 2 = 0")))(
@@ -175,9 +183,9 @@ scene_query("mark_objects", query("free occ", out("scene_id frame_id i:i j:i k:i
 scene_query("remove_target", query("others", out("scene_id frame_id obj_id i:i j:i k:i", "others")))(
     lambda s: occ.explode_bits(s.others, "occ", "w", "k")
 )
-scene_query("zbuffer", query("zb", out("scene_id frame_id obj_id u:i v:i z:d", "zb")))(lambda s: s.zbuf)
+scene_query("zbuffer", query("zb", out("scene_id frame_id obj_id u:i v:i z:d", "zb")))(lambda s: small_cuts(s).zbuf)
 scene_query("object_visible", query("visible", out("scene_id frame_id obj_id in_image visible", "visible")))(
-    lambda s: occ.object_visible(s.objects, s.camera, s.zbuf, CONFIG.voxel_size)
+    lambda s: occ.object_visible(s.objects, s.camera, small_cuts(s).zbuf, CONFIG.voxel_size)
 )
 
 # ---- morphology and components -----------------------------------------------------
@@ -220,7 +228,7 @@ scene_query("label_components", query("cc_occ", out("scene_id frame_id k:i i:i j
 
 
 def grid_surface(s):
-    s.own = cut_lineage(s.own)
+    small_cuts(s)
     return srf.surface_grid(s.others, s.grid, s.own, CONFIG.min_surface_voxels)
 
 
@@ -232,7 +240,7 @@ scene_query("best_surface", query("best", out("scene_id frame_id obj_id table_z:
 
 
 def component_distances(s):
-    s.own = cut_lineage(s.own)
+    small_cuts(s)
     runs = srf.surface_layer_components(s.others, s.grid, CONFIG.min_surface_voxels)
     big = cmp.component_areas(runs, srf.CAND, CONFIG.min_surface_voxels)
     near = srf.surface_object_distance(runs.join(big.select(*srf.CAND, "label"), srf.CAND + ["label"]), s.own)
@@ -243,9 +251,7 @@ scene_query("surface_object_distance", query("comp_dist", out("scene_id frame_id
 
 
 def ransac(s):
-    s.objects, s.grid = cut_lineage(s.objects), cut_lineage(s.grid)
-    s.own = cut_lineage(s.own)
-    s.base = cut_lineage(s.base)
+    small_cuts(s)
     return srf.surface_ransac(s.points, s.base, s.grid, s.objects, s.own, CONFIG)[0].select(*OBJ, "plane", "table_z", "area", "d2")
 
 
@@ -253,9 +259,7 @@ scene_query("surface_ransac")(ransac)
 
 
 def supported(s):
-    s.objects, s.grid = cut_lineage(s.objects), cut_lineage(s.grid)
-    s.own = cut_lineage(s.own)
-    s.base = cut_lineage(s.base)
+    small_cuts(s)
     return srf.support_surface(s.points, s.base, s.grid, s.objects, s.own, CONFIG)[1]
 
 
@@ -269,9 +273,7 @@ class Search:
 
     def __init__(self, s: Scene):
         self.s = s
-        s.objects, s.grid = cut_lineage(s.objects), cut_lineage(s.grid)
-        s.own = cut_lineage(s.own)
-        s.base = cut_lineage(s.base)
+        small_cuts(s)
         s.poses = cut_lineage(s.poses)
         s.voxels = cut_lineage(s.voxels)
         s.shapes = cut_lineage(s.shapes)
@@ -285,13 +287,17 @@ class Search:
         rows = plc.search_rows(s.voxels, s.shapes, self.region, self.obstacles, self.eroded)
         return cut_lineage(plc.spread(rows, plc.ROW))
 
-    def viewed(self):
+    def views(self):
         s = self.s
-        views = cut_lineage(plc.camera_views(s.poses, s.shapes, self.region, s.grid, s.camera))
-        return plc.row_candidates(plc.attach_view(self.rows(), views), "stable")
+        return cut_lineage(plc.camera_views(s.poses, s.shapes, self.region, s.grid, s.camera))
+
+    def in_view(self, views):
+        return plc.filter_visible(plc.row_candidates(plc.attach_view(self.rows(), views), "stable")).select(*CANDIDATE)
 
     def kept(self):
-        return plc.filter_occluded(plc.filter_visible(self.viewed()), self.s.zbuf, CONFIG.occlusion_threshold).select(*CANDIDATE)
+        views = self.views()
+        seen = cut_lineage(self.in_view(views))
+        return plc.filter_occluded(seen, views, self.s.zbuf, CONFIG.occlusion_threshold)
 
 
 CAND_OUT = "scene_id frame_id obj_id yaw_idx:i gx:i gy:i"
@@ -307,7 +313,7 @@ scene_query("filter_stable", query("stable", out(CAND_OUT, "stable")))(lambda s:
 scene_query("filter_stable_ratio", query("held com", out(CAND_OUT, f"(SELECT {PZ}, gx, gy FROM held SEMI JOIN com USING ({PZ}, gx, gy) WHERE held / n_foot >= 0.75)")))(
     lambda s: plc.filter_stable(plc.row_candidates((q := Search(s)).rows(), "raw"), q.s.voxels, q.s.shapes, q.eroded, 0.75)
 )
-scene_query("filter_visible", query("in_view", out(CAND_OUT, "in_view")))(lambda s: plc.filter_visible(Search(s).viewed()).select(*CANDIDATE))
+scene_query("filter_visible", query("in_view", out(CAND_OUT, "in_view")))(lambda s: (q := Search(s)).in_view(q.views()))
 scene_query("filter_occluded", query("kept", out(CAND_OUT, "kept")))(lambda s: Search(s).kept())
 scene_query("adaptive_eps", query("radius", out("scene_id frame_id obj_id eps:d", "radius")))(
     lambda s: clu.adaptive_eps(s.objects, s.shapes, s.grid).select(*OBJ, "eps")

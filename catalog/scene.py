@@ -73,7 +73,7 @@ class Scene:
 
     @cached_property
     def zbuf(self):
-        return occ.zbuffer(self.others, self.grid, self.camera, occ.OBJ)
+        return occ.zbuffer(self.base, self.grid, self.camera, self.objects, self.own)
 
     @cached_property
     def poses(self):

@@ -208,19 +208,34 @@ def layer_peak(columns: DataFrame) -> DataFrame:
     return best.select(*FK, (-F.col("top.neg_k")).alias("table_z"), F.col("top.n").alias("n_occupied"))
 
 
-def zbuffer(occ_columns: DataFrame, grid: DataFrame, camera: DataFrame, key: list[str]) -> DataFrame:
-    """Nearest camera depth per pixel over OCCUPIED voxel centres. A missing row is infinite."""
+def project_occupied(columns: DataFrame, grid: DataFrame, camera: DataFrame) -> DataFrame:
+    """Pixel and camera depth of every OCCUPIED voxel centre inside the image."""
     cam = camera.select(*FK, "fx", "fy", "cx", "cy", "img_w", "img_h", rigid_inverse(F.col("pose")).alias("w2c"))
     frame = grid.select(*FK, "ox", "oy", "oz", "voxel_size").join(cam, FK)
-    voxels = explode_bits(occ_columns.join(frame, FK), "occ", "w", "k")
+    voxels = occupied_voxels(columns).join(frame, FK)
     centre = tuple(voxel_center(F.col(n), F.col("o" + a), F.col("voxel_size")) for a, n in zip("xyz", "ijk"))
     u, v, z = project_camera_point(apply_matrix(F.col("w2c"), centre), *[F.col(c) for c in ("fx", "fy", "cx", "cy")])
-    seen = voxels.select(*key, "img_w", "img_h", u.alias("pu"), v.alias("pv"), z.alias("z")).filter(
+    seen = voxels.select(*FK, "i", "j", "k", "img_w", "img_h", u.alias("pu"), v.alias("pv"), z.alias("z")).filter(
         (F.col("z") > 0) & (F.col("pu") >= 0) & (F.col("pu") < F.col("img_w")) & (F.col("pv") >= 0) & (F.col("pv") < F.col("img_h"))
     )
-    return seen.groupBy(
-        *key, pixel_index(F.col("pu"), F.col("img_w")).alias("u"), pixel_index(F.col("pv"), F.col("img_h")).alias("v")
-    ).agg(F.min("z").alias("z"))
+    return seen.select(
+        *FK, "i", "j", "k", "z", pixel_index(F.col("pu"), F.col("img_w")).alias("u"), pixel_index(F.col("pv"), F.col("img_h")).alias("v")
+    )
+
+
+def zbuffer(columns: DataFrame, grid: DataFrame, camera: DataFrame, objects: DataFrame, object_voxels: DataFrame) -> DataFrame:
+    """Nearest camera depth per (object, pixel) over the OCCUPIED voxels that are not the object's own.
+
+    Voxels are projected once per frame. A pixel the object does not touch takes the
+    frame's minimum; only touched pixels are searched again. A missing row is infinite.
+    """
+    seen = project_occupied(columns, grid, camera)
+    frame_min = seen.groupBy(*FK, "u", "v").agg(F.min("z").alias("z"))
+    own = object_voxels.select(*OBJ, "i", "j", "k")
+    touched = seen.join(own, FK + ["i", "j", "k"]).select(*OBJ, "u", "v").distinct()
+    free_pixels = frame_min.join(objects.select(*OBJ), FK).join(touched, OBJ + ["u", "v"], "left_anti")
+    again = seen.join(touched, FK + ["u", "v"]).join(own, OBJ + ["i", "j", "k"], "left_anti")
+    return free_pixels.select(*OBJ, "u", "v", "z").unionByName(again.groupBy(*OBJ, "u", "v").agg(F.min("z").alias("z")))
 
 
 def object_visible(objects: DataFrame, camera: DataFrame, zbuf: DataFrame, margin: float) -> DataFrame:

@@ -230,7 +230,7 @@ def row_candidates(rows: DataFrame, bits: str) -> DataFrame:
     """Packed anchors to candidate rows."""
     live = rows.filter(F.col(bits) != 0).withColumnRenamed(bits, "_bits")
     keep = [c for c in live.columns if c not in ("raw", "stable")]
-    return explode_bits(live.select(*keep), "_bits", "gw", "gy")
+    return explode_bits(live.select(*keep), "_bits", "gw", "gy", wide=True)
 
 
 def collision_search(columns: DataFrame, grid: DataFrame, voxels: DataFrame, shapes: DataFrame, region: DataFrame, safety_margin: float, voxel_size: float) -> DataFrame:
@@ -266,7 +266,7 @@ def filter_stable(candidates: DataFrame, voxels: DataFrame, shapes: DataFrame, e
         return balanced.select(*CANDIDATE)
     foot = voxels.join(shapes.select(*POSE, "vi", "vj", "vk"), POSE).filter(F.col("k") == F.col("vk"))
     foot = foot.select(*POSE, (F.col("i") - F.col("vi")).alias("di"), (F.col("j") - F.col("vj")).alias("dj"))
-    held = foot.join(surface, OBJ).groupBy(
+    held = spread(foot, POSE + ["di", "dj"]).join(surface, OBJ).groupBy(
         *POSE, (F.col("i") - F.col("di")).alias("gx"), (F.col("j") - F.col("dj")).alias("gy")
     ).agg(F.count(F.lit(1)).alias("held"))
     return balanced.join(held, CANDIDATE).filter(F.col("held") / F.col("n_foot") >= min_support_ratio).select(*CANDIDATE)
@@ -322,13 +322,15 @@ def filter_visible(viewed: DataFrame) -> DataFrame:
     return _with_shift(viewed).filter(F.forall(F.transform("base", moved), inside)).select(*viewed.columns)
 
 
-def filter_occluded(viewed: DataFrame, zbuf: DataFrame, threshold: float) -> DataFrame:
+def filter_occluded(candidates: DataFrame, views: DataFrame, zbuf: DataFrame, threshold: float) -> DataFrame:
     """Drop candidates with too large a share of corners behind scene geometry.
 
     Corners look up their pixel; only the hidden ones go on, so the final anti join
     compares candidates with the few that fail.
     """
-    corners = _with_shift(viewed).withColumn("c", F.explode("base"))
+    corners = _with_shift(attach_view(candidates, views)).select(
+        *CANDIDATE, "sx", "sy", "sz", "fx", "fy", "cx", "cy", "img_w", "img_h", "voxel_size", F.explode("base").alias("c")
+    )
     u, v, z = _moved_pixel(F.col("c"))
     looked = corners.select(*CANDIDATE, "voxel_size", "img_w", "img_h", u.alias("pu"), v.alias("pv"), z.alias("cz")).filter(F.col("cz") > 0)
     looked = looked.select(
@@ -337,7 +339,7 @@ def filter_occluded(viewed: DataFrame, zbuf: DataFrame, threshold: float) -> Dat
     )
     hidden = looked.join(zbuf, OBJ + ["u", "v"]).filter(F.col("cz") > F.col("z") + F.col("voxel_size"))
     failed = hidden.groupBy(*CANDIDATE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") / 8.0 > threshold)
-    return viewed.join(failed.select(*CANDIDATE), CANDIDATE, "left_anti")
+    return candidates.join(failed.select(*CANDIDATE), CANDIDATE, "left_anti")
 
 
 def anchor_transforms(chosen: DataFrame, poses: DataFrame, shapes: DataFrame, grid: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ from scenesift.operators.cluster import (
 from scenesift.operators.morphology import dilate_xy, obstacle_columns
 from scenesift.operators.occupancy import (
     OBJ,
+    grid_bounds,
     mark_objects,
     object_visible,
-    occupancy_from_depth,
-    remove_target,
+    occupancy_columns,
     voxelize_obb,
     zbuffer,
 )
@@ -46,7 +46,7 @@ from scenesift.operators.placement import (
     yaw_shapes,
     yaw_voxels,
 )
-from scenesift.operators.points import FK
+from scenesift.operators.points import FK, depth_to_points
 from scenesift.operators.surface import support_surface
 from scenesift.session import cut_lineage, spread
 
@@ -94,16 +94,17 @@ def plan_placements(depth_px: DataFrame, camera: DataFrame, objects: DataFrame,
     Lineage is cut where a result feeds several branches: the packed grid, the object
     voxels, poses, the surface cells, the packed search rows and the surviving candidates.
     """
-    points, grid, seen = occupancy_from_depth(depth_px, camera, cfg)
-    grid = cut_lineage(grid)
+    objects = cut_lineage(objects)
+    points = depth_to_points(depth_px, camera, cfg.pixel_stride)
+    grid = cut_lineage(grid_bounds(points, camera, cfg.voxel_size, cfg.grid_padding))
+    seen = occupancy_columns(points, camera, grid)
     own = cut_lineage(voxelize_obb(objects, grid))
     base = cut_lineage(mark_objects(seen, own))
 
     with_voxels = objects.join(own.select(*OBJ).distinct(), OBJ, "left_semi")
-    others = remove_target(base, with_voxels, own)
-    zbuf = cut_lineage(zbuffer(others, grid, camera, OBJ))
+    zbuf = cut_lineage(zbuffer(base, grid, camera, with_voxels, own))
     visible = cut_lineage(object_visible(with_voxels, camera, zbuf, cfg.voxel_size))
-    active = with_voxels.join(visible.filter("visible").select(*OBJ), OBJ, "left_semi")
+    active = cut_lineage(with_voxels.join(visible.filter("visible").select(*OBJ), OBJ, "left_semi"))
     active_own = own.join(active.select(*OBJ), OBJ, "left_semi")
 
     if surface is None:
@@ -133,8 +134,8 @@ def plan_placements(depth_px: DataFrame, camera: DataFrame, objects: DataFrame,
         stable = cut_lineage(filter_stable(row_candidates(rows, "raw"), voxels, shapes, eroded, cfg.min_support_ratio))
         stable_count = _stage_count(stable, "num_after_stability")
         viewed = attach_view(stable, views)
-    in_image = filter_visible(viewed)
-    kept = cut_lineage(filter_occluded(in_image, zbuf, cfg.occlusion_threshold).select(*CANDIDATE))
+    in_image = cut_lineage(filter_visible(viewed).select(*CANDIDATE))
+    kept = cut_lineage(filter_occluded(in_image, views, zbuf, cfg.occlusion_threshold))
 
     if cfg.dbscan_eps is None:
         radius = adaptive_eps(active, shapes, grid)
