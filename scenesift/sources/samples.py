@@ -28,9 +28,13 @@ def sample_folders(spark: SparkSession, roots: list[str], strict: bool = False)
     return found
 
 
-def scan_samples(spark: SparkSession, roots: list[str], strict: bool = False) -> DataFrame:
-    """One row per parsable samples document; others are left out (see ``corrupt_samples``)."""
-    return _read_samples(spark, roots, strict).filter(F.col(FREE_MEMBER).isNull()).drop(FREE_MEMBER)
+def scan_samples(spark: SparkSession, roots: list[str], strict: bool = False, lines: bool = False) -> DataFrame:
+    """One row per parsable samples document; others are left out (see ``corrupt_samples``).
+
+    ``lines``: files hold one document per line, as the sinks here write them; such files
+    can be split. Otherwise a file is one document.
+    """
+    return _read_samples(spark, roots, strict, lines).filter(F.col(FREE_MEMBER).isNull()).drop(FREE_MEMBER)
 
 
 def corrupt_samples(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -38,9 +42,9 @@ def corrupt_samples(spark: SparkSession, roots: list[str]) -> DataFrame:
     return _read_samples(spark, roots, False).filter(F.col(FREE_MEMBER).isNotNull()).select("path", "source_dir")
 
 
-def _read_samples(spark, roots, strict):
+def _read_samples(spark, roots, strict, lines=False):
     folders = sample_folders(spark, roots, strict)
-    reader = spark.read.schema(SAMPLES_FILE).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", FREE_MEMBER)
+    reader = spark.read.schema(SAMPLES_FILE).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", FREE_MEMBER)
     if not folders:
         empty = spark.createDataFrame([], SAMPLES_FILE)
         return empty.withColumns({"path": F.lit(""), "source_dir": F.lit(""), "stem": F.lit("")})
@@ -76,9 +80,9 @@ def file_counts(documents: DataFrame) -> DataFrame:
     return documents.select("path", "source_dir", "scene_id", F.greatest(F.size("samples"), F.lit(0)).alias("n_samples"))
 
 
-def load_placements_back(spark: SparkSession, glob: str) -> DataFrame:
+def load_placements_back(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
     """Placement documents of the current layout or of the older {config, objects} one."""
-    return spark.read.schema(PLACEMENTS_FILE).option("multiLine", True).json(glob)
+    return spark.read.schema(PLACEMENTS_FILE).option("multiLine", not lines).json(glob)
 
 
 def load_summary(spark: SparkSession, path: str) -> DataFrame:
