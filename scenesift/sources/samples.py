@@ -28,18 +28,22 @@ def sample_folders(spark: SparkSession, roots: list[str], strict: bool = False)
     return found
 
 
+# Always true. Spark does not read a document only for its corrupt-record column.
+_READ = "samples IS NULL OR size(samples) >= 0"
+
+
 def scan_samples(spark: SparkSession, roots: list[str], strict: bool = False, lines: bool = False) -> DataFrame:
     """One row per parsable samples document; others are left out (see ``corrupt_samples``).
 
     ``lines``: files hold one document per line, as the sinks here write them; such files
     can be split. Otherwise a file is one document.
     """
-    return _read_samples(spark, roots, strict, lines).filter(F.col(FREE_MEMBER).isNull()).drop(FREE_MEMBER)
+    return _read_samples(spark, roots, strict, lines).filter(F.col(FREE_MEMBER).isNull() & F.expr(_READ)).drop(FREE_MEMBER)
 
 
 def corrupt_samples(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Paths of documents that do not parse."""
-    return _read_samples(spark, roots, False).filter(F.col(FREE_MEMBER).isNotNull()).select("path", "source_dir")
+    return _read_samples(spark, roots, False).filter(F.col(FREE_MEMBER).isNotNull() & F.expr(_READ)).select("path", "source_dir")
 
 
 def _read_samples(spark, roots, strict, lines=False):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scenesift.sources import datasets as ds
 
-EYE = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
+EYE = [[float(i == j) for j in range(4)] for i in range(4)]
 
 
 def test_json_annotations_and_mesh_boxes(spark, tmp_path):
@@ -18,8 +18,8 @@ def test_json_annotations_and_mesh_boxes(spark, tmp_path):
     doc = {"camera": {"intrinsics": [[500.0, 0, 320.0], [0, 510.0, 240.0], [0, 0, 1]], "extrinsics": view},
            "objects": [{"class": "Butter", "pose": place}, {"class": "Milk", "pose": EYE, "bbox3d": [0.0, 0, 0, 1, 2, 3]}]}
     (scene / "0005.json").write_text(json.dumps(doc))
-    (scene / "0005_rgb.jpg").write_text("")
-    (scene / "0007_rgb.jpg").write_text("")
+    (scene / "0005_rgb.jpg").write_text("x")
+    (scene / "0007_rgb.jpg").write_text("x")
     (tmp_path / "Butter.obj").write_text("# mesh\nv 10 20 30\nv -10 0 5\nvn 0 0 1\n")
     sizes = ds.mesh_bbox(spark, str(tmp_path / "*.obj"))
     camera, objects = ds.scan_hope_annotations(spark, str(tmp_path), sizes)
@@ -41,7 +41,7 @@ def test_text_poses_and_labels(spark, tmp_path):
     (scene / "intrinsics.txt").write_text("600 0 320\n0 610 240\n0 0 1\n")
     (scene / "camera_pose" / "000010.txt").write_text("1 0 0 0.5\n0 1 0 0\n0 0 1 2\n0 0 0 1\n")
     for part, name in (("rgb", "000010.png"), ("depth", "000010.png"), ("labels", "000010_label.pkl"), ("rgb", "000020.png")):
-        (scene / part / name).write_text("")
+        (scene / part / name).write_text("x")
     camera = ds.scan_housecat_text(spark, str(tmp_path))
     cam = camera.first()
     assert (cam.fx, cam.fy, cam.cx, cam.cy) == (600.0, 610.0, 320.0, 240.0) and cam.pose[3] == 50.0 and cam.pose[11] == 200.0
