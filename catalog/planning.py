@@ -292,7 +292,7 @@ class Search:
         return cut_lineage(plc.camera_views(s.poses, s.shapes, self.region, s.grid, s.camera))
 
     def in_view(self, views):
-        return plc.filter_visible(plc.row_candidates(plc.attach_view(self.rows(), views), "stable")).select(*CANDIDATE)
+        return plc.row_candidates(plc.visible_rows(self.rows(), views, "stable"), "visible").select(*CANDIDATE)
 
     def kept(self):
         views = self.views()
@@ -314,6 +314,9 @@ scene_query("filter_stable_ratio", query("held com", out(CAND_OUT, f"(SELECT {PZ
     lambda s: plc.filter_stable(plc.row_candidates((q := Search(s)).rows(), "raw"), q.s.voxels, q.s.shapes, q.eroded, 0.75)
 )
 scene_query("filter_visible", query("in_view", out(CAND_OUT, "in_view")))(lambda s: (q := Search(s)).in_view(q.views()))
+scene_query("filter_visible_rows", query("in_view", out(CAND_OUT, "in_view")))(
+    lambda s: plc.filter_visible(plc.row_candidates((q := Search(s)).rows(), "stable"), q.views())
+)
 scene_query("filter_occluded", query("kept", out(CAND_OUT, "kept")))(lambda s: Search(s).kept())
 scene_query("adaptive_eps", query("radius", out("scene_id frame_id obj_id eps:d", "radius")))(
     lambda s: clu.adaptive_eps(s.objects, s.shapes, s.grid).select(*OBJ, "eps")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scenesift.functions.bits import (
     FULL,
     WORD,
+    bit,
     bit_in_word,
     explode_bits,
     long_lit,
@@ -26,7 +27,6 @@ from scenesift.functions.bits import (
 from scenesift.functions.geometry import (
     aabb_center,
     apply_matrix,
-    apply_rotation,
     cell,
     corner_array,
     euler_to_matrix,
@@ -229,7 +229,7 @@ def search_rows(voxels: DataFrame, shapes: DataFrame, region: DataFrame, obstacl
 def row_candidates(rows: DataFrame, bits: str) -> DataFrame:
     """Packed anchors to candidate rows."""
     live = rows.filter(F.col(bits) != 0).withColumnRenamed(bits, "_bits")
-    keep = [c for c in live.columns if c not in ("raw", "stable")]
+    keep = [c for c in live.columns if c not in ("raw", "stable", "visible")]
     return explode_bits(live.select(*keep), "_bits", "gw", "gy", wide=True)
 
 
@@ -294,32 +294,60 @@ def attach_view(rows: DataFrame, views: DataFrame) -> DataFrame:
     return rows.join(views, POSE)
 
 
-def _with_shift(viewed: DataFrame) -> DataFrame:
-    """Camera-space shift of the anchor as plain columns."""
-    vs = F.col("voxel_size")
-    step = ((F.col("gx") - F.col("vi")) * vs, (F.col("gy") - F.col("vj")) * vs, F.col("lift"))
-    return viewed.withColumns(dict(zip(("sx", "sy", "sz"), apply_rotation(F.col("w2c"), step))))
+def _in_image(u, v, z):
+    return (z > 0) & (u >= 0) & (u < F.col("img_w")) & (v >= 0) & (v < F.col("img_h"))
+
+
+def _corner_rows(df: DataFrame, views: DataFrame, keep: list[str]) -> DataFrame:
+    """One narrow row per (row, corner): the base corner and the camera as scalars."""
+    seen = attach_view(df, views).select(
+        *keep, "fx", "fy", "cx", "cy", "img_w", "img_h", "voxel_size", "vi", "vj", "lift",
+        *[cell(F.col("w2c"), r, c).alias(f"r{r}{c}") for r in range(3) for c in range(3)], F.explode("base").alias("c"),
+    )
+    return seen.select(*[c for c in seen.columns if c != "c"], *[F.col("c")[a].alias("b" + a) for a in "xyz"])
 
 
-def _moved_pixel(c):
-    """(u, v, z) of a base corner struct moved by the shift columns."""
-    x, y, z = (c[a] + F.col("s" + a) for a in "xyz")
-    safe = F.when(z > 0, z).otherwise(F.lit(1.0))
-    return x / safe * F.col("fx") + F.col("cx"), y / safe * F.col("fy") + F.col("cy"), z
+def _corner_pixel():
+    """(u, v, z) of a corner row at its anchor (gx, gy)."""
+    vs = F.col("voxel_size")
+    step = ((F.col("gx") - F.col("vi")) * vs, (F.col("gy") - F.col("vj")) * vs, F.col("lift"))
+    moved = [
+        F.col("b" + a) + (F.col(f"r{r}0") * step[0] + F.col(f"r{r}1") * step[1] + F.col(f"r{r}2") * step[2])
+        for r, a in enumerate("xyz")
+    ]
+    return tuple(m.alias(n) for m, n in zip(moved, ("mx", "my", "mz")))
+
+
+def _projected(corners: DataFrame, keep: list[str]) -> DataFrame:
+    moved = corners.select(*keep, "fx", "fy", "cx", "cy", "img_w", "img_h", "voxel_size", *_corner_pixel())
+    safe = F.when(F.col("mz") > 0, F.col("mz")).otherwise(F.lit(1.0))
+    return moved.select(
+        *keep, "img_w", "img_h", "voxel_size", F.col("mz").alias("cz"),
+        (F.col("mx") / safe * F.col("fx") + F.col("cx")).alias("pu"), (F.col("my") / safe * F.col("fy") + F.col("cy")).alias("pv"),
+    )
 
 
-def filter_visible(viewed: DataFrame) -> DataFrame:
-    """Keep viewed candidates (see ``attach_view``) whose box is fully inside the image."""
+def visible_rows(rows: DataFrame, views: DataFrame, bits: str) -> DataFrame:
+    """Packed anchors whose box is fully inside the image, as ``visible`` words.
 
-    def moved(c):
-        return F.struct(*[(c[a] + F.col("s" + a)).alias(a) for a in "xyz"])
+    Corners are unpacked as narrow scalar rows and only the failing ones are kept; they
+    combine to one word of failures per packed row before the shuffle.
+    """
+    live = rows.filter(F.col(bits) != 0)
+    corners = _corner_rows(live.select(*ROW, bits), views, [*ROW, bits])
+    at = corners.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
+    at = at.filter(shift_right(F.col(bits), F.col("_b")).bitwiseAND(long_lit(1)) == 1).withColumn("gy", F.col("gw") * WORD + F.col("_b"))
+    seen = _projected(at, [*ROW, "_b"])
+    failed = seen.filter(~_in_image(F.col("pu"), F.col("pv"), F.col("cz"))).groupBy(*ROW).agg(F.bit_or(bit(F.col("_b"))).alias("_out"))
+    joined = live.join(failed, ROW, "left")
+    return joined.withColumn("visible", F.col(bits).bitwiseAND(F.bitwise_not(F.coalesce("_out", long_lit(0))))).drop("_out")
 
-    def inside(c):
-        safe = F.when(c["z"] > 0, c["z"]).otherwise(F.lit(1.0))
-        u, v = c["x"] / safe * F.col("fx") + F.col("cx"), c["y"] / safe * F.col("fy") + F.col("cy")
-        return (c["z"] > 0) & (u >= 0) & (u < F.col("img_w")) & (v >= 0) & (v < F.col("img_h"))
 
-    return _with_shift(viewed).filter(F.forall(F.transform("base", moved), inside)).select(*viewed.columns)
+def filter_visible(candidates: DataFrame, views: DataFrame) -> DataFrame:
+    """Keep candidate rows whose box is fully inside the image."""
+    seen = _projected(_corner_rows(candidates.select(*CANDIDATE), views, CANDIDATE), CANDIDATE)
+    failed = seen.filter(~_in_image(F.col("pu"), F.col("pv"), F.col("cz"))).select(*CANDIDATE).distinct()
+    return candidates.join(failed, CANDIDATE, "left_anti")
 
 
 def filter_occluded(candidates: DataFrame, views: DataFrame, zbuf: DataFrame, threshold: float) -> DataFrame:
@@ -328,11 +356,7 @@ def filter_occluded(candidates: DataFrame, views: DataFrame, zbuf: DataFrame, th
     Corners look up their pixel; only the hidden ones go on, so the final anti join
     compares candidates with the few that fail.
     """
-    corners = _with_shift(attach_view(candidates, views)).select(
-        *CANDIDATE, "sx", "sy", "sz", "fx", "fy", "cx", "cy", "img_w", "img_h", "voxel_size", F.explode("base").alias("c")
-    )
-    u, v, z = _moved_pixel(F.col("c"))
-    looked = corners.select(*CANDIDATE, "voxel_size", "img_w", "img_h", u.alias("pu"), v.alias("pv"), z.alias("cz")).filter(F.col("cz") > 0)
+    looked = _projected(_corner_rows(candidates.select(*CANDIDATE), views, CANDIDATE), CANDIDATE).filter(F.col("cz") > 0)
     looked = looked.select(
         *CANDIDATE, "voxel_size", "cz",
         pixel_index(F.col("pu"), F.col("img_w")).alias("u"), pixel_index(F.col("pv"), F.col("img_h")).alias("v"),

@@ -33,7 +33,6 @@ from scenesift.operators.placement import (
     CANDIDATE,
     ROW,
     anchor_transforms,
-    attach_view,
     camera_views,
     eroded_surface,
     filter_occluded,
@@ -42,6 +41,7 @@ from scenesift.operators.placement import (
     row_candidates,
     search_region,
     search_rows,
+    visible_rows,
     yaw_poses,
     yaw_shapes,
     yaw_voxels,
@@ -129,12 +129,12 @@ def plan_placements(depth_px: DataFrame, camera: DataFrame, objects: DataFrame,
     raw_count = rows.groupBy(*OBJ).agg(F.sum(F.bit_count("raw")).alias("num_raw_candidates"))
     if full_support:
         stable_count = rows.groupBy(*OBJ).agg(F.sum(F.bit_count("stable")).alias("num_after_stability"))
-        viewed = row_candidates(attach_view(rows, views), "stable")
+        in_image = row_candidates(visible_rows(rows, views, "stable"), "visible")
     else:
         stable = cut_lineage(filter_stable(row_candidates(rows, "raw"), voxels, shapes, eroded, cfg.min_support_ratio))
         stable_count = _stage_count(stable, "num_after_stability")
-        viewed = attach_view(stable, views)
-    in_image = cut_lineage(filter_visible(viewed).select(*CANDIDATE))
+        in_image = filter_visible(stable, views)
+    in_image = cut_lineage(in_image.select(*CANDIDATE))
     kept = cut_lineage(filter_occluded(in_image, views, zbuf, cfg.occlusion_threshold))
 
     if cfg.dbscan_eps is None:
