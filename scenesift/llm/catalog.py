@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scenesift.llm.license_scan import scan_licenses
 from scenesift.llm.mixing import mix_sources
 from scenesift.llm.quality import judge_quality
+from scenesift.llm.substring_dedup import remove_repeated_words
+from scenesift.llm.suffix_dedup import remove_repeated_bytes
 from scenesift.llm.toxicity import score_toxicity
 from scenesift.llm.url_filter import filter_urls
 
@@ -30,6 +32,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "text", "lang", F.col("source").alias("source_dir"))
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    out = remove_repeated_bytes(samples(spark, sf_dir))
+    return out.select(F.col("sample_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id"), "toxic")
     return score_toxicity(samples(spark, sf_dir), labels).withColumnRenamed("sample_id", "doc_id")
@@ -55,11 +62,18 @@ def op9_url_filter(spark, sf_dir):
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_substring_dedup(spark, sf_dir):
+    out = remove_repeated_words(samples(spark, sf_dir))
+    return out.select(F.col("sample_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}

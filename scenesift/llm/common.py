@@ -44,7 +44,7 @@ def bucketed(df: DataFrame, key: str, text: str, total: int, size: int = BUCKET_
     buckets = max(1, -(-total // size))
     return df.select(
         F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(buckets)).cast("int").alias("bucket"),
-        F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
+        F.col(key).alias("key"), F.col(text).alias("text"),
     )
 
 
