@@ -70,23 +70,21 @@ def removed_words(docs, window):
 
 
 def removed_lines(docs, min_words):
-    """[(id, n_removed, kept lines)]: lines in a run that starts earlier too and holds ``min_words`` words."""
-    seqs = [(k, (t or "").split("\n")) for k, t in docs]
-    places = [(d, i) for d, (_, s) in enumerate(seqs) for i in range(len(s))]
+    """[(id, n_lines, n_removed, kept)]: line runs with ``min_words`` words that an earlier place holds too."""
+    every = [(k, (t or "").split("\n")) for k, t in docs]
+    seqs = [[(p, x) for p, x in enumerate(lines) if words(x)] for _, lines in every]
+    starts = defaultdict(list)
     out = []
-    for d, (k, s) in enumerate(seqs):
-        gone = [False] * len(s)
-        for i in range(len(s)):
-            best = 0
-            for e, j in places:
-                if (e, j) >= (d, i):
-                    break
-                other = seqs[e][1]
+    for d, s in enumerate(seqs):
+        gone = set()
+        for i, (_, x) in enumerate(s):
+            for e, j in starts[x]:
                 n = 0
-                while i + n < len(s) and j + n < len(other) and s[i + n] == other[j + n]:
+                while i + n < len(s) and j + n < len(seqs[e]) and s[i + n][1] == seqs[e][j + n][1]:
                     n += 1
-                best = max(best, n)
-            if best and sum(len(words(x)) for x in s[i : i + best]) >= min_words:
-                gone[i : i + best] = [True] * best
-        out.append((k, sum(gone), [x for x, g in zip(s, gone) if not g]))
+                if sum(len(words(y)) for _, y in s[i : i + n]) >= min_words:
+                    gone.update(p for p, _ in s[i : i + n])
+            starts[x].append((d, i))
+        lines = every[d][1]
+        out.append((every[d][0], len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone)))
     return out
