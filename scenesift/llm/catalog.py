@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenesift.llm.decontaminate import find_leaks
 from scenesift.llm.license_scan import scan_licenses
+from scenesift.llm.line_dedup import remove_repeated_lines
 from scenesift.llm.mixing import mix_sources
+from scenesift.llm.near_dedup import near_duplicates
 from scenesift.llm.quality import judge_quality
 from scenesift.llm.substring_dedup import remove_repeated_words
 from scenesift.llm.suffix_dedup import remove_repeated_bytes
@@ -47,6 +50,22 @@ def op3_mix_sources(spark, sf_dir):
     return out.select(F.col("sample_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_duplicates(samples(spark, sf_dir)).withColumnRenamed("sample_id", "doc_id")
+
+
+def op5_decontaminate(spark, sf_dir):
+    out = find_leaks(samples(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        F.col("sample_id").alias("doc_id"), (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_items"),
+        F.array_join(F.array_sort("leaks.item_id").cast("array<string>"), ",").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    out = remove_repeated_lines(samples(spark, sf_dir).select("sample_id", "text"))
+    return out.select(F.col("sample_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark, sf_dir):
     out = scan_licenses(samples(spark, sf_dir))
     return out.select(F.col("sample_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -71,6 +90,9 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
