@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,24 +121,28 @@ def train(samples: DataFrame, labels: DataFrame, key: str = "sample_id", text: s
 
 
 def score_toxicity(samples: DataFrame, labels: DataFrame, key: str = "sample_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD,
-                   model: PUClassifier | None = None) -> DataFrame:
+                       columns: tuple | list = (), model: PUClassifier | None = None) -> DataFrame:
     """Toxicity of every sample text.
 
     ``samples`` has a sample id and its text (a grounding description); ``labels`` has some of the ids with a 0/1
     label. The classifier (see ``train``; pass ``model`` to reuse one) sees only the words of a text. Rows whose
     crc32(id) mod 4 is 2 are held out of the fit.
 
-    Returns (key, held_out, score, predicted), one row for each input row; ``predicted`` is 1 from ``threshold`` on.
+    Returns (key, held_out, score, predicted) and the given ``columns`` of the samples, one row for each input row;
+    ``predicted`` is 1 from ``threshold`` on.
     Null and empty texts get the score of a text without any known word. Null ids count as empty text for the hash.
     Ids may repeat. Without a positive label every score is near 0; without rows there are none.
     """
     model = train(samples, labels, key, text, label) if model is None else model
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    carried = [c for c in columns if c not in (key, "held_out", "score", "predicted")]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([model.score(t) for t in batch["_text"]], float)
-            yield pd.DataFrame({key: batch["_key"].astype("object"), "held_out": batch["_held"], "score": scores, "predicted": (scores >= threshold).astype("int32")})
+            scores = np.array([model.score(t) for t in batch.column("_text").to_pylist()], float)
+            more = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more, *[batch.column(k) for k in range(3, batch.num_columns)]], names=[key, "held_out", "score", "predicted", *carried])
 
-    rows = samples.select(F.col(key).alias("_key"), held_out(F.col(key)).alias("_held"), F.col(text).alias("_text"))
-    schema = T.StructType([T.StructField(key, samples.schema[key].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInPandas(score, schema)
+    rows = samples.select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), F.col(text).alias("_text"), *carried)
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields[:2], *added, *rows.schema.fields[3:]]))
