@@ -10,6 +10,7 @@ from scenesift.llm.license_scan import scan_licenses
 from scenesift.llm.line_dedup import remove_repeated_lines
 from scenesift.llm.mixing import mix_sources
 from scenesift.llm.near_dedup import near_duplicates
+from scenesift.llm.oracles import ORACLES
 from scenesift.llm.quality import judge_quality
 from scenesift.llm.substring_dedup import remove_repeated_words
 from scenesift.llm.suffix_dedup import remove_repeated_bytes
@@ -98,4 +99,3 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
