@@ -19,6 +19,7 @@ from scenesift.operators import points as pts
 from scenesift.operators import surface as srf
 from scenesift.plans import placement as plan
 from scenesift.session import cut_lineage
+from scenesift.sources import sinks
 
 FK, OBJ, POSE, CANDIDATE = pts.FK, occ.OBJ, plc.POSE, plc.CANDIDATE
 QUERIES, ORACLES = {}, {}
@@ -391,10 +392,10 @@ scene_query("depth_lift", query("pts", out("scene_id frame_id mask_id n_points:i
     )
 )
 scene_query("export_points", query("pts", f"SELECT {FKC}, round(x, 4) + 0e0 AS x, round(y, 4) + 0e0 AS y, round(z, 4) + 0e0 AS z FROM pts"))(
-    lambda s: s.points.select(*FK, *[(F.round(a, 4) + 0.0).alias(a) for a in "xyz"])
+    lambda s: sinks.point_lines(s.points.withColumns({c: F.lit(None).cast("int") for c in "rgb"})).select(*FK, *[(F.col(a) + 0.0).alias(a) for a in "xyz"])
 )
 scene_query("sink_grid_meta", query("free occ grid", out("scene_id frame_id unit free:i occupied:i unknown:i", f"""(
  SELECT {FKC}, 'cm' AS unit, f AS free, o AS occupied, gx * gy * gz - f - o AS unknown FROM grid
  LEFT JOIN (SELECT {FKC}, count(*) AS f FROM free GROUP BY ALL) USING ({FKC}) LEFT JOIN (SELECT {FKC}, count(*) AS o FROM occ GROUP BY ALL) USING ({FKC}))""")))(
-    lambda s: __import__("scenesift.sources.sinks", fromlist=["x"]).grid_meta_documents(occ.grid_meta(s.base, s.grid), "cm").select(*FK, "unit", "voxel_counts.*")
+    lambda s: sinks.grid_meta_documents(occ.grid_meta(s.base, s.grid), "cm").select(*FK, "unit", "voxel_counts.*")
 )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from catalog.oracle_cte import out
 from catalog.tidy import tidy
@@ -15,6 +15,7 @@ from scenesift.operators import evaluation as ev
 from scenesift.operators import points as pts
 from scenesift.operators import stats as st
 from scenesift.operators.points import FK
+from scenesift.sources import samples as smp
 
 QUERIES, ORACLES = {}, {}
 
@@ -114,11 +115,14 @@ sam("boxplot_outliers", f""", q AS (SELECT quantile_cont(CAST(sample_count AS DO
 
 
 def with_ids(df):
-    s = samples(df).withColumn("sample_id", F.concat("path", F.lit("#"), F.lpad(F.col("pos").cast("string"), 12, "0")))
-    return s.groupBy("sample_id", "path", "pos").agg(F.min("category").alias("category"))
+    """Samples with an id of their own: rows that share path and position are numbered by what they hold."""
+    nth = F.row_number().over(Window.partitionBy("path", "pos").orderBy("category", "object_id"))
+    s = samples(df).withColumn("pos", F.col("pos") * 1000 + nth)
+    return s.withColumn("sample_id", F.concat("path", F.lit("#"), F.lpad(F.col("pos").cast("string"), 15, "0")))
 
 
-sam("limit_samples", """, w AS (SELECT concat(path, '#', lpad(CAST(pos AS VARCHAR), 12, '0')) AS sample_id, path, pos, min(category) AS category FROM s GROUP BY ALL)
+sam("limit_samples", """, n AS (SELECT path, category, pos * 1000 + row_number() OVER (PARTITION BY path, pos ORDER BY category, object_id) AS pos FROM s),
+ w AS (SELECT concat(path, '#', lpad(CAST(pos AS VARCHAR), 15, '0')) AS sample_id, * FROM n)
  SELECT sample_id, category FROM w WHERE category NOT LIKE 'large%' ORDER BY path, pos LIMIT 50""",
     lambda d: st.limit_samples(with_ids(d), with_ids(d).filter(F.col("category").startswith("large")), 50).select("sample_id", "category"))
 sam("sink_stats", """, o AS (SELECT *, row_number() OVER (ORDER BY sample_count DESC, first_seen) AS rn FROM cs)
@@ -163,7 +167,32 @@ def documents(d):
 
 
 sam("flatten_samples", out("path object_id class_name n:i", "(SELECT path, object_id, category AS class_name, count(*) AS n FROM s GROUP BY ALL)"),
-    lambda d: documents(d).select("path", F.explode("samples").alias("s")).groupBy("path", "s.object_id", "s.class_name").agg(F.count(F.lit(1)).alias("n")))
+    lambda d: smp.flatten_samples(documents(d)).groupBy("path", "object_id", "class_name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def texts(d):
+    """Document texts as files would hold them: odd types in fields, missing and null fields, and some broken files."""
+    score = F.when(F.col("l_linenumber") % 3 == 0, F.lit(" 3.0")).when(F.col("l_linenumber") % 3 == 1, F.lit("\"high\"")).otherwise(F.lit("null"))
+    name = F.to_json(F.struct(F.col("class_name_raw").alias("class_name")))
+    inner = F.concat(F.expr("substring(n, 1, length(n) - 1)"), F.lit(", \"object_id\": "), "l_linenumber", F.lit(", \"free_space_score\": "), "score", F.lit("}"))
+    rows = d.withColumns({"score": score, "n": name}).withColumn("text", F.when(F.col("l_linenumber") == 7, F.lit("{}")).otherwise(inner))
+    path = F.concat("source_dir", F.lit("/samples/"), "scene_id", F.lit("_"), "frame_id", F.lit(".json"))
+    whole = F.concat(F.lit("{\"unit\": 1, \"samples\": ["), F.array_join(F.collect_list("text"), ", "), F.lit("]"))
+    files = rows.groupBy(path.alias("path"), "source_dir", "scene_id", "frame_id").agg(whole.alias("open"))
+    broken = (F.col("frame_id") == "000070") & (F.col("source_dir") == "out_1")
+    return files.select("path", "source_dir", F.concat("scene_id", F.lit("_"), "frame_id").alias("stem"), F.concat("open", F.when(broken, F.lit("")).otherwise(F.lit("}"))).alias("value"))
+
+
+sam("scan_samples", out("source_dir scene_id category object_id n:i scored:i", """(
+ SELECT source_dir, concat(scene_id, '_', frame_id) AS scene_id, CASE WHEN l_linenumber = 7 THEN 'unknown' ELSE trim(class_name_raw) END AS category,
+  CASE WHEN l_linenumber = 7 THEN 'unknown_object' ELSE CAST(l_linenumber AS VARCHAR) END AS object_id, count(*) AS n, count(CASE WHEN l_linenumber <> 7 AND l_linenumber % 3 = 0 THEN 1 END) AS scored
+ FROM (""" + duck("fx_samples") + """) WHERE NOT (frame_id = '000070' AND source_dir = 'out_1') GROUP BY ALL)"""),
+    lambda d: smp.infer_frame_keys(smp.parse_documents(texts(d))).select("source_dir", "scene_id", F.explode("samples").alias("s")).groupBy(
+        "source_dir", "scene_id", names.category_normalize(F.col("s.class_name")).alias("category"), names.object_or_default(F.col("s.object_id")).alias("object_id"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.count("s.free_space_score").alias("scored")))
+sam("skipped_documents", """SELECT source_dir, count(CASE WHEN NOT broken THEN 1 END) AS n_documents, count(CASE WHEN broken THEN 1 END) AS n_skipped
+ FROM (SELECT DISTINCT source_dir, path, frame_id = '000070' AND source_dir = 'out_1' AS broken FROM s) GROUP BY ALL""",
+    lambda d: smp.skipped_documents(texts(d)))
 
 # ---- batch state -------------------------------------------------------------------
 
@@ -265,9 +294,29 @@ boxq("box_errors", out(KEY + " l1:d yaw_error:d giou3d:d total:d", "t"), lambda
 boxq("match_predictions", out("sample_key:i n_candidates:i total:d k:i l1:d yaw_error:d giou3d:d", """(SELECT *, count(*) OVER (PARTITION BY sample_key) AS n_candidates,
  row_number() OVER (PARTITION BY sample_key ORDER BY total, k) AS rn FROM t) WHERE rn = 1"""),
     lambda p: ev.match_predictions(p, ["sample_key"], ["k"], False))
-view_query("nms3d", "fx_boxes")(lambda d: ev.nms3d(
-    pairs(d).withColumn("box_id", F.struct("k", "part_key", F.col("score").alias("s"), F.col("gt.cx").alias("x"), F.col("gt.cy").alias("y"))).dropDuplicates(["sample_key", "box_id"])
-    .select("sample_key", F.to_json("box_id").alias("box_id"), "score", F.col("pred").alias("box")), ["sample_key"], "box_id", "score", 0.5, False).select("sample_key", "box_id", "score"))
+BOX_ID = ["k", "part_key", "score", *["pred." + c for c in ("cx", "cy", "cz", "l", "w", "h")], *["gt." + c for c in ("cx", "cy", "cz", "l", "w", "h")]]
+
+
+def numbered_boxes(d):
+    """Predicted boxes with an id over all columns; rows equal in all of them are told apart by a number."""
+    p = pairs(d).withColumn("order_key", F.struct(*[F.col(c) for c in BOX_ID]))
+    nth = F.row_number().over(Window.partitionBy("sample_key").orderBy("order_key"))
+    return p.select("sample_key", F.format_string("%06d", nth).alias("box_id"), "score", F.col("pred").alias("box"))
+
+
+NMS = f"""{X}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY k, part_key, score, p_cx, p_cy, p_cz, p_l, p_w, p_h, g_cx, g_cy, g_cz, g_l, g_w, g_h) AS nth FROM b),
+q AS (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY score DESC, nth) AS place FROM r),
+hit AS (SELECT a.sample_key, a.place AS winner, b.place AS loser FROM q a JOIN q b ON a.sample_key = b.sample_key AND a.place < b.place
+ WHERE {{ov}} / (a.p_l * a.p_w * a.p_h + b.p_l * b.p_w * b.p_h - {{ov}}) > 0.5),
+step AS (
+ SELECT sample_key, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept FROM q GROUP BY sample_key UNION ALL
+ SELECT s.sample_key, s.place + 1, CASE WHEN EXISTS (SELECT 1 FROM hit h WHERE h.sample_key = s.sample_key AND h.loser = s.place + 1 AND list_contains(s.kept, h.winner)) THEN s.kept ELSE list_append(s.kept, s.place + 1) END
+ FROM step s JOIN q ON q.sample_key = s.sample_key AND q.place = s.place + 1),
+last AS (SELECT sample_key, arg_max(kept, place) AS kept FROM step GROUP BY sample_key)
+SELECT q.sample_key, lpad(CAST(nth AS VARCHAR), 6, '0') AS box_id, round(CAST(score AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS score FROM q JOIN last USING (sample_key) WHERE list_contains(kept, place)"""
+_OVER = " * ".join(f"greatest(least(a.p_{c} + a.p_{s} / 2, b.p_{c} + b.p_{s} / 2) - greatest(a.p_{c} - a.p_{s} / 2, b.p_{c} - b.p_{s} / 2), 0)" for c, s in (("cx", "l"), ("cy", "w"), ("cz", "h")))
+view_query("nms3d", "fx_boxes", "WITH RECURSIVE " + NMS.replace("{ov}", f"({_OVER})"))(
+    lambda d: ev.nms3d(numbered_boxes(d), ["sample_key"], "box_id", "score", 0.5, False).select("sample_key", "box_id", "score"))
 _Q = """(SELECT *, CASE WHEN confidence < 0.5 THEN 'low confidence' WHEN num_points < 100 THEN 'too few points'
  WHEN least(p_l, p_w, p_h) <= 0 OR greatest(p_l, p_w, p_h) > least(p_l, p_w, p_h) * 10 THEN 'bad aspect ratio' WHEN g_cx / 10 < 0.1 OR g_cx / 10 > 10 THEN 'depth out of range' END AS reason
  FROM (SELECT *, iou AS confidence, part_key % 400 AS num_points FROM x))"""
@@ -289,12 +338,12 @@ boxq("annotation_report", f"SELECT CASE WHEN reason IS NULL THEN 'success' WHEN
 P = duck("fx_points")
 view_query("voxel_downsample", "fx_points", out("cluster_id:i i:i j:i k:i x:d y:d z:d n_points:i", f"""(
  SELECT cluster_id, floor(x / 5) AS i, floor(y / 5) AS j, floor(z / 5) AS k, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n_points
- FROM (SELECT vec_id, cluster_id, x AS x, y AS y, z AS z FROM ({P})) v GROUP BY cluster_id, floor(v.x / 5), floor(v.y / 5), floor(v.z / 5))"""))(
+ FROM ({P}) v GROUP BY cluster_id, floor(v.x / 5), floor(v.y / 5), floor(v.z / 5))"""))(
     lambda d: pts.voxel_downsample(d, ["cluster_id"], 5.0))
 view_query("normalize_cloud", "fx_points", f"""
-SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(cluster_id AS BIGINT) AS cluster_id, round(a / r, 6) + 0e0 AS x, round(b / r, 6) + 0e0 AS y, round(c / r, 6) + 0e0 AS z FROM (
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(point AS BIGINT) AS point, CAST(cluster_id AS BIGINT) AS cluster_id, round(a / r, 6) + 0e0 AS x, round(b / r, 6) + 0e0 AS y, round(c / r, 6) + 0e0 AS z FROM (
  SELECT *, max(sqrt(a * a + b * b + c * c)) OVER (PARTITION BY cluster_id) AS r FROM (
-  SELECT vec_id, cluster_id, x - avg(x) OVER w AS a, y - avg(y) OVER w AS b, z - avg(z) OVER w AS c FROM ({P}) WINDOW w AS (PARTITION BY cluster_id)))""")(
+  SELECT vec_id, point, cluster_id, x - avg(x) OVER w AS a, y - avg(y) OVER w AS b, z - avg(z) OVER w AS c FROM ({P}) WINDOW w AS (PARTITION BY cluster_id)))""")(
     lambda d: pts.normalize_cloud(d, ["cluster_id"]))
 view_query("fit_bbox_aabb", "fx_points", out("cluster_id:i cx:d cy:d cz:d l:d w:d h:d yaw:d num_points:i", f"""(
  SELECT cluster_id, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, max(x) - min(x) AS l, max(y) - min(y) AS w, max(z) - min(z) AS h,

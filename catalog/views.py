@@ -9,8 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 DIALECT = {
-    "spark": {"STR": "STRING", "ARR": "array(", "END": ")", "I0": "0", "I1": "1", "I2": "2"},
-    "duckdb": {"STR": "VARCHAR", "ARR": "[", "END": "]", "I0": "1", "I1": "2", "I2": "3"},
+    "spark": {
+        "STR": "STRING", "ARR": "array(", "END": ")",
+        "EACH": "LATERAL VIEW explode(sequence(0, CAST(ceil(size(embedding) / 3) AS INT) - 1)) t AS point",
+        **{f"E{n}": f"coalesce(get(embedding, 3 * point + {n}), 0)" for n in range(3)},
+    },
+    "duckdb": {
+        "STR": "VARCHAR", "ARR": "[", "END": "]",
+        "EACH": ", LATERAL (SELECT unnest(range(0, CAST(ceil(len(embedding) / 3e0) AS INT))) AS point) t",
+        **{f"E{n}": f"coalesce(embedding[3 * point + {n + 1}], 0)" for n in range(3)},
+    },
 }
 
 # Orders per frame; a frame then holds about 5,000 pixels and 8 objects at every scale.
@@ -73,9 +81,10 @@ SELECT l_orderkey AS sample_key, l_linenumber AS k, l_partkey AS part_key, lower
        l_quantity + l_discount * 100 AS g_cx, l_linenumber + l_tax * 50 AS g_cy, CAST(1 AS DOUBLE) AS g_cz,
        CAST(12 + p_size AS DOUBLE) AS g_l, CAST(18 AS DOUBLE) AS g_w, CAST(11 AS DOUBLE) AS g_h
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    # Every vector unfolds into consecutive triples, one point each; the last, incomplete one is filled with zeros.
     "fx_points": """
-SELECT vec_id, label AS cluster_id, CAST(embedding[<I0>] AS DOUBLE) * 100 AS x, CAST(embedding[<I1>] AS DOUBLE) * 100 AS y,
-       CAST(embedding[<I2>] AS DOUBLE) * 100 AS z FROM {embeddings}""",
+SELECT vec_id, point, label AS cluster_id, CAST(<E0> AS DOUBLE) * 100 AS x, CAST(<E1> AS DOUBLE) * 100 AS y,
+       CAST(<E2> AS DOUBLE) * 100 AS z FROM {embeddings} <EACH>""",
     "fx_mask_px": f"""
 SELECT DISTINCT {_frame_key(FRAME)}, {U} AS u, {V} AS v, concat('mask_', CAST(l_partkey % 3 AS <STR>)) AS mask_id
 FROM {{lineitem}} WHERE l_quantity < 25""",

@@ -13,6 +13,7 @@ class PlacementConfig:
     All lengths are in the scene unit (the depth and the poses share it).
     """
 
+    # The names and defaults of the public parameters.
     voxel_size: float = 1.0
     pixel_stride: int = 4
     grid_padding: float = 10.0

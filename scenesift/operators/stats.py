@@ -27,7 +27,13 @@ def category_stats(samples: DataFrame) -> DataFrame:
         F.sum("n").alias("sample_count"), F.sum("objects").alias("object_count"),
         F.count(F.lit(1)).alias("scene_count"), F.min("first").alias("first_seen"),
     )
-    return rows.withColumn("ratio", F.col("sample_count") / F.sum("sample_count").over(Window.partitionBy()))
+    return with_ratio(rows)
+
+
+def with_ratio(rows: DataFrame) -> DataFrame:
+    """Adds each row's share of all samples; the total is one row by construction, so it is broadcast."""
+    total = rows.agg(F.sum("sample_count").alias("_total"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("sample_count") / F.col("_total")).drop("_total")
 
 
 def ordered_categories(stats: DataFrame) -> DataFrame:
@@ -41,7 +47,7 @@ def stats_overview(files: DataFrame, samples: DataFrame) -> DataFrame:
     per_category = samples.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     from_samples = per_category.agg(F.count(F.lit(1)).alias("total_categories"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_samples"))
     # Two single rows side by side.
-    both = from_files.withColumn("_k", F.lit(1)).join(from_samples.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = from_files.crossJoin(F.broadcast(from_samples))
     average = F.when(F.col("total_scenes") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("total_samples"), F.col("total_scenes")))
     return both.select("total_scenes", "total_categories", "total_samples", "source_file_count", average.alias("avg_samples_per_scene"))
 
@@ -67,9 +73,7 @@ def merge_categories(stats: DataFrame, mapping: DataFrame) -> DataFrame:
     merged = stats.join(rules, "category", "left").groupBy(F.coalesce("_m", "category").alias("category")).agg(
         *[F.sum(c).alias(c) for c in ("sample_count", "object_count", "scene_count")]
     )
-    return merged.withColumn("ratio", F.col("sample_count") / F.sum("sample_count").over(Window.partitionBy())).orderBy(
-        F.desc("sample_count"), "category"
-    )
+    return with_ratio(merged).orderBy(F.desc("sample_count"), "category")
 
 
 def merge_summary(merged: DataFrame) -> DataFrame:
@@ -115,9 +119,9 @@ def top_categories(stats: DataFrame, k: int) -> DataFrame:
 def category_topk_others(stats: DataFrame, k: int) -> DataFrame:
     """The first k categories and the sum of the rest as ``others``; no category gives one ``empty`` row."""
     top = top_categories(stats, k).select(F.col("category").alias("label"), F.col("sample_count").alias("size"))
-    rest = stats.agg(F.coalesce(F.sum("sample_count"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
-    shown = top.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("shown")).withColumn("_k", F.lit(1))
-    extra = rest.join(shown, "_k").select(
+    rest = stats.agg(F.coalesce(F.sum("sample_count"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n"))
+    shown = top.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("shown"))
+    extra = rest.crossJoin(F.broadcast(shown)).select(
         F.when(F.col("n") == 0, F.lit("empty")).when(F.col("total") > F.col("shown"), F.lit("others")).alias("label"),
         F.when(F.col("n") == 0, F.lit(1)).otherwise(F.col("total") - F.col("shown")).cast("long").alias("size"),
     )
@@ -125,25 +129,29 @@ def category_topk_others(stats: DataFrame, k: int) -> DataFrame:
 
 
 def merged_boxplot(merged: DataFrame) -> DataFrame:
-    """Quartiles, 1.5 IQR whiskers and outliers of the merged counts, one row."""
-    v = F.col("sample_count").cast("double")
-    quart = merged.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(
-        *[F.get("q", F.lit(n)).alias(name) for n, name in enumerate(("q1", "median", "q3"))], F.lit(1).alias("_k")
+    """Quartiles, 1.5 IQR whiskers and outliers of the merged counts, one row.
+
+    Counts collapse to (value, categories) first; quartiles, whiskers and outliers come from that table.
+    """
+    values = merged.groupBy(F.col("sample_count").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    quart = values.agg(F.expr("percentile(v, array(0.25D, 0.5D, 0.75D), n)").alias("q")).select(
+        *[F.get("q", F.lit(n)).alias(name) for n, name in enumerate(("q1", "median", "q3"))]
     )
-    tagged = merged.select(v.alias("v"), F.lit(1).alias("_k")).join(quart, "_k")
+    # One row by construction.
+    tagged = values.crossJoin(F.broadcast(quart))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     low_in, high_in = F.col("v") >= F.col("q1") - reach, F.col("v") <= F.col("q3") + reach
     return tagged.groupBy("q1", "median", "q3").agg(
         F.least(F.min(F.when(low_in, F.col("v"))), F.first("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(high_in, F.col("v"))), F.first("q3")).alias("whisker_high"),
-        F.count_if(~(low_in & high_in)).alias("n_outliers"),
-        F.sum(F.when(~(low_in & high_in), F.col("v"))).alias("outlier_sum"),
+        F.sum(F.when(~(low_in & high_in), F.col("n")).otherwise(F.lit(0))).alias("n_outliers"),
+        F.sum(F.when(~(low_in & high_in), F.col("v") * F.col("n"))).alias("outlier_sum"),
     )
 
 
 def boxplot_outliers(merged: DataFrame) -> DataFrame:
-    box = merged_boxplot(merged).select("whisker_low", "whisker_high", F.lit(1).alias("_k"))
-    rows = merged.withColumn("_k", F.lit(1)).join(box, "_k").drop("_k")
+    box = merged_boxplot(merged).select("whisker_low", "whisker_high")
+    rows = merged.crossJoin(F.broadcast(box))
     return rows.filter((F.col("sample_count") < F.col("whisker_low")) | (F.col("sample_count") > F.col("whisker_high"))).drop(
         "whisker_low", "whisker_high"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenesift.functions.names import category_normalize, infer_frame_id, infer_scene_id, object_or_default
-from scenesift.schema import FREE_MEMBER, PLACEMENTS_FILE, SAMPLES_FILE, SUMMARY_FILE
+from scenesift.schema import PLACEMENTS_FILE, SUMMARY_FILE
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,33 +28,64 @@ def sample_folders(spark: SparkSession, roots: list[str], strict: bool = False)
     return found
 
 
-# Always true. Spark does not read a document only for its corrupt-record column.
-_READ = "samples IS NULL OR size(samples) >= 0"
+#: Fields of a sample that are read, with the type each one is tried as.
+SAMPLE_FIELDS = {
+    "sample_id": "string", "scene_id": "string", "frame_id": "string", "unit": "string", "object_id": "string", "class_name": "string", "rank": "int",
+    "canonical_aabb_object": "array<double>", "original_pose_world": "array<array<double>>", "original_aabb_world": "array<double>", "center_world": "array<double>",
+    "yaw_degrees": "double", "transform_world": "array<array<double>>", "aabb_world": "array<double>", "free_space_score": "int",
+}
+DOCUMENT_FIELDS = ("schema_version", "scene_id", "frame_id", "unit")
+
+
+def parse_documents(texts: DataFrame) -> DataFrame:
+    """Documents from ``texts`` (value and any key columns): only text that is no JSON object is left out.
+
+    Every field is tried on its own: one that is missing, null or of another type is null, and the document, the
+    sample and its other fields stay.
+    """
+    read = texts.withColumn("_doc", F.try_parse_json("value")).filter(_is_object("_doc"))
+    field = lambda e, name, kind: F.try_variant_get(e, f"$.{name}", kind)
+    sample = lambda e: F.struct(*[field(e, n, k).alias(n) for n, k in SAMPLE_FIELDS.items()])
+    kept = [c for c in texts.columns if c != "value"]
+    return read.select(
+        *[field(F.col("_doc"), n, "string").alias(n) for n in DOCUMENT_FIELDS],
+        F.transform(F.try_variant_get("_doc", "$.samples", "array<variant>"), sample).alias("samples"), *kept,
+    )
+
+
+def _is_object(column: str):
+    return F.coalesce(F.schema_of_variant(column).startswith("OBJECT"), F.lit(False))
 
 
 def scan_samples(spark: SparkSession, roots: list[str], strict: bool = False, lines: bool = False) -> DataFrame:
-    """One row per parsable samples document; others are left out (see ``corrupt_samples``).
+    """One row per parsable samples document; others are left out (see ``skipped_documents``).
 
     ``lines``: files hold one document per line, as the sinks here write them; such files
     can be split. Otherwise a file is one document.
     """
-    return _read_samples(spark, roots, strict, lines).filter(F.col(FREE_MEMBER).isNull() & F.expr(_READ)).drop(FREE_MEMBER)
+    return parse_documents(sample_texts(spark, roots, strict, lines))
 
 
-def corrupt_samples(spark: SparkSession, roots: list[str]) -> DataFrame:
+def corrupt_samples(spark: SparkSession, roots: list[str], lines: bool = False) -> DataFrame:
     """Paths of documents that do not parse."""
-    return _read_samples(spark, roots, False).filter(F.col(FREE_MEMBER).isNotNull() & F.expr(_READ)).select("path", "source_dir")
+    read = sample_texts(spark, roots, False, lines).withColumn("_doc", F.try_parse_json("value"))
+    return read.filter(~_is_object("_doc")).select("path", "source_dir")
+
+
+def skipped_documents(texts: DataFrame) -> DataFrame:
+    """(source_dir, n_documents, n_skipped): how many texts of each root are read and left out."""
+    read = texts.withColumn("_doc", F.try_parse_json("value"))
+    return read.groupBy("source_dir").agg(F.count_if(_is_object("_doc")).alias("n_documents"), F.count_if(~_is_object("_doc")).alias("n_skipped"))
 
 
-def _read_samples(spark, roots, strict, lines=False):
+def sample_texts(spark: SparkSession, roots: list[str], strict: bool = False, lines: bool = False) -> DataFrame:
+    """(value, path, source_dir, stem): the text of every document."""
     folders = sample_folders(spark, roots, strict)
-    reader = spark.read.schema(SAMPLES_FILE).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", FREE_MEMBER)
     if not folders:
-        empty = spark.createDataFrame([], SAMPLES_FILE)
-        return empty.withColumns({"path": F.lit(""), "source_dir": F.lit(""), "stem": F.lit("")})
+        return spark.createDataFrame([], "value string, path string, source_dir string, stem string")
     path = F.col("_metadata.file_path")
-    return reader.json([f"{f}/*.json" for f in folders]).withColumns(
-        {"path": path, "source_dir": F.regexp_extract(path, r"([^/]+)/samples/[^/]+$", 1), "stem": F.regexp_extract(path, r"([^/]+)\.json$", 1)}
+    return spark.read.option("wholetext", not lines).option("pathGlobFilter", "*.json").text(folders).select(
+        "value", path.alias("path"), F.regexp_extract(path, r"([^/]+)/samples/[^/]+$", 1).alias("source_dir"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("stem")
     )
 
 

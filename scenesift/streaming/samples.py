@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenesift.functions.names import category_normalize
-from scenesift.schema import SAMPLES_FILE
+from scenesift.sources.samples import parse_documents
 
 
 def category_counts_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Streaming sample count per category; write it in update or complete mode."""
-    documents = (
-        spark.readStream.schema(SAMPLES_FILE).option("multiLine", True).option("maxFilesPerTrigger", max_files)
-        .option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    )
+    texts = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files).text(folder)
+    documents = parse_documents(texts)
     rows = documents.select(F.explode("samples").alias("s"))
     return rows.groupBy(category_normalize(F.col("s.class_name")).alias("category")).agg(F.count(F.lit(1)).alias("sample_count"))

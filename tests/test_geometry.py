@@ -18,6 +18,7 @@ def pose(rotation):
     return flat + [0.0, 0.0, 0.0, 1.0]
 
 
+# Measured rotations with known classes.
 REMOTE = [[-0.3736369689557053, 0.6121312233971954, 0.6969151890810263], [0.36354947409558036, -0.594577755994652, 0.7171534507768815], [0.8533622884299574, 0.5213181921040281, -0.000383753785208301]]
 BOTTLE = [[0.012359447067249974, 0.6779096292103588, 0.7350413448861643], [0.01462940798799423, -0.7351414059370607, 0.677755924871779], [0.9998165954264353, 0.002376531244415877, -0.019003357838330986]]
 CUP = [[-0.36858265550763186, -0.01955667608560278, 0.9293892416417485], [0.9291522909979096, 0.02310052084795846, 0.36897477701041403], [-0.028685295750162727, 0.9995418462260788, 0.00965667907149146]]

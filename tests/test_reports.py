@@ -43,6 +43,36 @@ def test_two_roots(spark, documents, tmp_path):
     assert spark.read.text(str(tmp_path / "r/summary_text")).count() == 8
 
 
+def test_fields_of_other_types_lose_nothing(spark, tmp_path):
+    folder = tmp_path / "root" / "samples"
+    write_samples(folder, "scene01", "0000", [("obj_1", "cup")])
+    odd = {"scene_id": 7, "frame_id": None, "samples": [
+        {"class_name": "cup", "object_id": 5, "free_space_score": 3.0, "rank": "first", "center_world": "none"},
+        {"class_name": None, "free_space_score": None}, {"object_id": "obj_2", "class_name": " cup ", "center_world": [1, 2.5, 3]}]}
+    (folder / "scene_7_0005.json").write_text(json.dumps(odd))
+    (folder / "scene_8_0005.json").write_text('{"samples": [')
+    (folder / "scene_9_0005.json").write_text('["no object"]')
+    (folder / "scene_9_0010.json").write_text('{"unit": "cm"}')
+    docs = src.infer_frame_keys(src.scan_samples(spark, [str(tmp_path / "root")]))
+    assert docs.count() == 3
+    got = {(r.scene_id, r.frame_id, r.object_id, r.category) for r in src.sample_rows(docs).collect()}
+    assert got == {("scene01", "0000", "obj_1", "cup"), ("7", "0005", "5", "cup"), ("7", "0005", "unknown_object", "unknown"), ("7", "0005", "obj_2", "cup")}
+    flat = {r.object_id: r for r in src.flatten_samples(docs).collect()}
+    assert flat["5"].free_space_score == 3 and flat["5"].rank is None and flat["5"].center_world is None and flat["obj_2"].center_world == [1.0, 2.5, 3.0]
+    texts = src.sample_texts(spark, [str(tmp_path / "root")])
+    assert [tuple(r) for r in src.skipped_documents(texts).collect()] == [("root", 3, 2)]
+    assert src.corrupt_samples(spark, [str(tmp_path / "root")]).count() == 2
+
+
+def test_summary_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k % 3}", "f", f"o{k % 4}", "cup" if k % 5 else "can", "p", k) for k in range(20)], "scene_id string, frame_id string, object_id string, category string, path string, pos int")
+    files = spark.createDataFrame([("p", f"s{k}") for k in range(4)], "path string, scene_id string")
+    stats = st.category_stats(rows)
+    sinks.sink_stats(st.stats_overview(files, rows), stats, st.scene_distribution(rows), str(tmp_path / "r"))
+    back = [(r.category, r.sample_count, r.object_count, r.scene_count, r.ratio) for r in src.load_summary(spark, str(tmp_path / "r/summary")).collect()]
+    assert back == [tuple(r) for r in st.ordered_categories(stats).select("category", "sample_count", "object_count", "scene_count", "ratio").collect()]
+
+
 def test_empty_reports(spark):
     stats = spark.createDataFrame([], "category string, sample_count long, object_count long, scene_count long, first_seen string, ratio double")
     assert [tuple(r) for r in st.category_topk_others(stats, 3).collect()] == [("empty", 1)]
