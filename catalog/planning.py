@@ -8,6 +8,7 @@ from catalog.oracle_cte import FKC, LK, MIN_VOXELS, OB, PZ, apply, dilated, erod
 from catalog.scene import CONFIG, Scene
 from catalog.tidy import spread_array, tidy
 from catalog.views import duck, load
+from scenesift.functions import boxes as bx
 from scenesift.functions import geometry as geo
 from scenesift.operators import cluster as clu
 from scenesift.operators import components as cmp
@@ -167,12 +168,21 @@ scene_query("anchor_transform", query("placed visible", out("scene_id frame_id o
  SELECT {OB}, "rank", {', '.join(f'r{n} AS m{n}' for n in range(12))} FROM placed SEMI JOIN (SELECT {OB} FROM visible WHERE visible) USING ({OB}))""")))(
     lambda s: mat_cols(layer_plan(s).placements.select(*FK, F.col("object_id").alias("obj_id"), "rank", F.col("transform_world").alias("m")), "m")
 )
-_BOXW = "(SELECT {0}, w0*p3+w1*p7+w2*p11+w3 AS x, w4*p3+w5*p7+w6*p11+w7 AS y, w8*p3+w9*p7+w10*p11+w11 AS z FROM obj JOIN cam USING (scene_id, frame_id))".format(OB)
-scene_query("box_frame_change", query("obj cam", out("scene_id frame_id obj_id x:d y:d z:d", _BOXW)))(
-    lambda s: pts.transform_points(
-        s.objects.select(*OBJ, *[geo.cell(F.col("pose"), r, 3).alias(a) for r, a in enumerate("xyz")]),
-        s.camera.select(*FK, geo.rigid_inverse(F.col("pose")).alias("matrix")),
-    )
+_BOXW = f"""(SELECT {OB}, w0*p3+w1*p7+w2*p11+w3 AS cx, w4*p3+w5*p7+w6*p11+w7 AS cy, w8*p3+w9*p7+w10*p11+w11 AS cz, hi0 - lo0 AS l, hi1 - lo1 AS w, hi2 - lo2 AS h,
+ atan2(w4 * cos(t) + w5 * sin(t), w0 * cos(t) + w1 * sin(t)) AS yaw FROM (SELECT *, atan2(p4, p0) AS t FROM obj) JOIN cam USING ({FKC}))"""
+
+
+def heading_boxes(s):
+    """7-DoF boxes of the objects in world axes."""
+    lo, hi = ([geo.at(F.col("aabb"), n + k) for n in range(3)] for k in (0, 3))
+    centre = [geo.cell(F.col("pose"), r, 3) for r in range(3)]
+    yaw = F.atan2(geo.cell(F.col("pose"), 1, 0), geo.cell(F.col("pose"), 0, 0))
+    return s.objects.select(*OBJ, bx.box(*centre, *[b - a for a, b in zip(lo, hi)], yaw).alias("box"))
+
+
+scene_query("box_frame_change", query("obj cam", out("scene_id frame_id obj_id cx:d cy:d cz:d l:d w:d h:d yaw:d", _BOXW)))(
+    lambda s: heading_boxes(s).join(s.camera.select(*FK, geo.rigid_inverse(F.col("pose")).alias("m")), FK)
+    .select(*OBJ, bx.box_change_frame(F.col("box"), F.col("m")).alias("b")).select(*OBJ, "b.*")
 )
 
 # ---- objects in the grid -----------------------------------------------------------

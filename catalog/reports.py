@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -278,16 +280,47 @@ def boxq(name, final, fn):
     view_query(name, "fx_boxes", f"WITH {X}\n{final}")(lambda d: fn(pairs(d)))
 
 
+# Rotated pairs: the prediction has a heading from the keys, the ground truth that and a number of quarter turns, so
+# the overlap is axis-aligned in the prediction's own axes.
+_YAW = "radians(part_key % 23 * 15e0 + 5)"
+R = f"""b AS ({duck("fx_boxes")}), y AS (SELECT *, {_YAW} AS yaw, k % 4 AS turns FROM b),
+a AS (SELECT *, cos(yaw) AS c, sin(yaw) AS s, cos(yaw) * (g_cx - p_cx) + sin(yaw) * (g_cy - p_cy) AS du, cos(yaw) * (g_cy - p_cy) - sin(yaw) * (g_cx - p_cx) AS dv,
+ CASE WHEN turns % 2 = 1 THEN g_w ELSE g_l END AS gl, CASE WHEN turns % 2 = 1 THEN g_l ELSE g_w END AS gw FROM y),
+o AS (SELECT *, greatest(least(p_l / 2, du + gl / 2) - greatest(-p_l / 2, du - gl / 2), 0) * greatest(least(p_w / 2, dv + gw / 2) - greatest(-p_w / 2, dv - gw / 2), 0)
+  * {_ov("cz", "h")} AS inter, p_l * p_w * p_h AS va, g_l * g_w * g_h AS vb,
+ abs(c) * p_l / 2 + abs(s) * p_w / 2 AS ex, abs(s) * p_l / 2 + abs(c) * p_w / 2 AS ey, abs(c) * gl / 2 + abs(s) * gw / 2 AS fx, abs(s) * gl / 2 + abs(c) * gw / 2 AS fy FROM a),
+h AS (SELECT *, (greatest(p_cx + ex, g_cx + fx) - least(p_cx - ex, g_cx - fx)) * (greatest(p_cy + ey, g_cy + fy) - least(p_cy - ey, g_cy - fy)) * {_hu("cz", "h")} AS hull, va + vb - inter AS uni FROM o),
+x AS (SELECT *, inter / uni AS iou, inter / uni - (hull - uni) / hull AS giou FROM h),
+e AS (SELECT *, abs(p_cx - g_cx) + abs(p_cy - g_cy) + abs(p_cz - g_cz) + abs(p_l - g_l) + abs(p_w - g_w) + abs(p_h - g_h) AS l1,
+ abs(s - sin(yaw + turns * pi() / 2)) + abs(c - cos(yaw + turns * pi() / 2)) AS yaw_error, 1 - giou AS giou3d FROM x),
+t AS (SELECT *, l1 * 5 + giou3d * 2 + yaw_error AS total FROM e)"""
+
+
+def turned(d):
+    """Pairs with headings."""
+    yaw = F.radians(F.col("part_key") % 23 * 15.0 + 5)
+    names = ("cx", "cy", "cz", "l", "w", "h")
+    p = bx.box(*[F.col("p_" + c) for c in names], yaw)
+    g = bx.box(*[F.col("g_" + c) for c in names], yaw + F.col("k") % 4 * (math.pi / 2))
+    return d.select("sample_key", "k", "part_key", "class_name", "score", p.alias("pred"), g.alias("gt"))
+
+
+def turnq(name, final, fn):
+    view_query(name, "fx_boxes", f"WITH {R}\n{final}")(lambda d: fn(turned(d)))
+
+
 BK = ["sample_key", "k", "part_key"]
 boxq("iou3d", out(KEY + " iou:d", "x"), lambda p: p.select(*BK, bx.iou3d(F.col("pred"), F.col("gt"), False).alias("iou")))
 boxq("giou3d", out(KEY + " giou:d", "x"), lambda p: p.select(*BK, bx.giou3d(F.col("pred"), F.col("gt"), False).alias("giou")))
-boxq("iou3d_rotated", out(KEY + " iou:d", "x"), lambda p: p.select(*BK, bx.iou3d(bx.box(*[F.col("pred")[c] for c in ("cx", "cy", "cz", "l", "w", "h")], F.lit(1e-12)), F.col("gt"), True).alias("iou")))
-boxq("box_to_corners", out(KEY + " corner:i x:d y:d z:d", """(SELECT *, p_cx + (CASE WHEN (corner & 1) = 0 THEN -0.5 ELSE 0.5 END) * p_l AS x,
- p_cy + (CASE WHEN (corner & 2) = 0 THEN -0.5 ELSE 0.5 END) * p_w AS y, p_cz + (CASE WHEN (corner & 4) = 0 THEN -0.5 ELSE 0.5 END) * p_h AS z
- FROM b, (SELECT unnest(range(0, 8)) AS corner))"""),
+turnq("iou3d_rotated", out(KEY + " iou:d", "x"), lambda p: p.select(*BK, bx.iou3d(F.col("pred"), F.col("gt"), True).alias("iou")))
+turnq("giou3d_rotated", out(KEY + " giou:d", "x"), lambda p: p.select(*BK, bx.giou3d(F.col("pred"), F.col("gt"), True).alias("giou")))
+turnq("box_errors_rotated", out(KEY + " l1:d yaw_error:d giou3d:d total:d", "t"), lambda p: ev.box_errors(p, True).select(*BK, "l1", "yaw_error", "giou3d", "total"))
+turnq("box_to_corners", out(KEY + " corner:i x:d y:d z:d", """(SELECT *, p_cx + c * dx - s * dy AS x, p_cy + s * dx + c * dy AS y, p_cz + (CASE WHEN (corner & 4) = 0 THEN -0.5 ELSE 0.5 END) * p_h AS z
+ FROM (SELECT *, (CASE WHEN (corner & 1) = 0 THEN -0.5 ELSE 0.5 END) * p_l AS dx, (CASE WHEN (corner & 2) = 0 THEN -0.5 ELSE 0.5 END) * p_w AS dy FROM a, (SELECT unnest(range(0, 8)) AS corner)))"""),
     lambda p: p.select(*BK, F.explode(bx.box_to_corners(F.col("pred"))).alias("c")).select(*BK, F.col("c.idx").alias("corner"), "c.x", "c.y", "c.z"))
-boxq("corners_to_box", out(KEY + " cx:d cy:d cz:d l:d w:d h:d yaw:d", "(SELECT sample_key, k, part_key, p_cx AS cx, p_cy AS cy, p_cz AS cz, p_l AS l, p_w AS w, p_h AS h, 0 AS yaw FROM b)"),
-    lambda p: p.select(*BK, bx.box_to_corners(F.col("pred")).alias("c")).select(*BK, bx.corners_to_box(F.col("c")).alias("b")).select(*BK, "b.*"))
+turnq("corners_to_box", out(KEY + " cx:d cy:d cz:d l:d w:d h:d heading:d", """(SELECT sample_key, k, part_key, p_cx AS cx, p_cy AS cy, p_cz AS cz, p_l AS l, p_w AS w, p_h AS h,
+ CASE WHEN yaw > pi() THEN yaw - 2 * pi() ELSE yaw END AS heading FROM a)"""),
+    lambda p: p.select(*BK, bx.box_to_corners(F.col("pred")).alias("c")).select(*BK, bx.corners_to_box(F.col("c")).alias("b")).select(*BK, "b.*").withColumnRenamed("yaw", "heading"))
 boxq("grounding_metrics", out("class_name n:i acc_25:d acc_5:d miou:d", """(SELECT class_name, count(*) AS n, avg(CASE WHEN iou >= 0.25 THEN 1e0 ELSE 0e0 END) AS acc_25,
  avg(CASE WHEN iou >= 0.5 THEN 1e0 ELSE 0e0 END) AS acc_5, avg(iou) AS miou FROM x GROUP BY ROLLUP (class_name))"""), lambda p: ev.grounding_metrics(p, False))
 boxq("box_errors", out(KEY + " l1:d yaw_error:d giou3d:d total:d", "t"), lambda p: ev.box_errors(p, False).select(*BK, "l1", "yaw_error", "giou3d", "total"))

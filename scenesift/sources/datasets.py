@@ -25,14 +25,19 @@ def _flat_pose(matrix: Column, factor: float) -> Column:
 
 
 def scan_hope_annotations(spark: SparkSession, root: str, sizes: DataFrame | None = None):
-    """(camera, objects) from ``scene_*/NNNN.json``.
+    """(camera, objects) from ``scene_*/NNNN.json``, see ``parse_hope_annotations``."""
+    scene, frame = _path_parts(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)\.json$")
+    texts = spark.read.text(f"{root}/scene_*/*.json", wholetext=True).select(scene.alias("scene_id"), frame.alias("frame_id"), "value")
+    return parse_hope_annotations(texts, sizes)
+
+
+def parse_hope_annotations(texts: DataFrame, sizes: DataFrame | None = None):
+    """(camera, objects) from annotation texts (scene_id, frame_id, value).
 
     Extrinsics are world to camera in metres; object poses are object to camera.
     ``sizes`` (class_name, aabb) fills objects without their own box.
     """
-    raw = spark.read.schema(FRAME_ANNOTATION).option("multiLine", True).json(f"{root}/scene_*/*.json")
-    scene, frame = _path_parts(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)\.json$")
-    raw = raw.select(scene.alias("scene_id"), frame.alias("frame_id"), "camera", "objects")
+    raw = texts.select(*FK, F.from_json("value", FRAME_ANNOTATION).alias("d")).select(*FK, "d.camera", "d.objects")
     raw = raw.withColumn("w2c", _flat_pose(F.col("camera.extrinsics"), METRES))
     raw = raw.withColumn("pose_c2w", rigid_inverse(F.col("w2c")))
     k = F.col("camera.intrinsics")
@@ -57,11 +62,15 @@ def with_image_size(camera: DataFrame, img_w: int, img_h: int) -> DataFrame:
 
 def mesh_bbox(spark: SparkSession, mesh_glob: str) -> DataFrame:
     """Canonical AABB per class from the vertex lines of ``class.obj`` files, in centimetres."""
-    lines = spark.read.text(mesh_glob).filter(F.col("value").startswith("v "))
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.obj$", 1)
+    return vertex_boxes(spark.read.text(mesh_glob).select(name.alias("class_name"), "value"))
+
+
+def vertex_boxes(lines: DataFrame) -> DataFrame:
+    """AABB per class from mesh lines (class_name, value) in millimetres; other lines than vertices are left out."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)\.obj$", 1).alias("class_name"),
-        *[(parts[n + 1].cast("double") * MILLIMETRES).alias(a) for n, a in enumerate("xyz")],
+    rows = lines.filter(F.col("value").startswith("v ")).select(
+        "class_name", *[(parts[n + 1].cast("double") * MILLIMETRES).alias(a) for n, a in enumerate("xyz")],
     )
     return rows.groupBy("class_name").agg(
         F.concat(F.array(*[F.min(a) for a in "xyz"]), F.array(*[F.max(a) for a in "xyz"])).alias("aabb")
@@ -74,13 +83,20 @@ def _numbers(text: Column) -> Column:
 
 def scan_housecat_text(spark: SparkSession, root: str) -> DataFrame:
     """Camera rows from ``scene*/intrinsics.txt`` and ``scene*/camera_pose/*.txt`` (camera to world, metres)."""
-    intr = spark.read.text(f"{root}/scene*/intrinsics.txt", wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)/intrinsics\.txt$", 1).alias("scene_id"), _numbers(F.col("value")).alias("k")
+    intrinsics = spark.read.text(f"{root}/scene*/intrinsics.txt", wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", r"([^/]+)/intrinsics\.txt$", 1).alias("scene_id"), "value"
     )
     scene, frame = _path_parts(F.col("_metadata.file_path"), r"([^/]+)/camera_pose/([^/]+)\.txt$")
     poses = spark.read.text(f"{root}/scene*/camera_pose/*.txt", wholetext=True).select(
-        scene.alias("scene_id"), frame.alias("frame_id"), _numbers(F.col("value")).alias("m")
+        scene.alias("scene_id"), frame.alias("frame_id"), "value"
     )
+    return parse_cameras(intrinsics, poses)
+
+
+def parse_cameras(intrinsics: DataFrame, poses: DataFrame) -> DataFrame:
+    """Camera rows from the texts of 3x3 intrinsics (scene_id, value) and 4x4 poses (scene_id, frame_id, value)."""
+    intr = intrinsics.select("scene_id", _numbers(F.col("value")).alias("k"))
+    poses = poses.select(*FK, _numbers(F.col("value")).alias("m"))
     pose = F.transform("m", lambda v, i: F.when(i.isin(3, 7, 11), v * METRES).otherwise(v))
     return poses.join(intr, "scene_id").select(
         *FK, *[F.get("k", F.lit(n)).alias(c) for c, n in (("fx", 0), ("fy", 4), ("cx", 2), ("cy", 5))], pose.alias("pose")
@@ -88,7 +104,7 @@ def scan_housecat_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def housecat_objects(labels: DataFrame, camera: DataFrame) -> DataFrame:
-    """Objects from parallel label arrays; arrays of different length are an error."""
+    """Objects from parallel label arrays; arrays of different length, or a frame without a camera pose, are an error."""
     n = F.size("model_list")
     sizes = {c: F.size(c) for c in ("rotations", "translations", "gt_scales")}
     wrong = (sizes["rotations"] != n) | (sizes["translations"] != n) | (sizes["gt_scales"] != n)
@@ -98,7 +114,9 @@ def housecat_objects(labels: DataFrame, camera: DataFrame) -> DataFrame:
     r, t, size = F.col("o.rotations"), F.col("o.translations"), F.col("o.gt_scales")
     local = make_matrix([[r[i][j] for j in range(3)] for i in range(3)], tuple(t[i] * METRES for i in range(3)))
     half = [size[i] * METRES * 0.5 for i in range(3)]
-    rows = rows.join(camera.select(*FK, F.col("pose").alias("c2w")), FK).withColumn("local", local)
+    rows = rows.join(camera.select(*FK, F.col("pose").alias("c2w")), FK, "left").withColumn("local", local)
+    missing = F.concat(F.lit("no camera pose for "), "scene_id", F.lit("/"), "frame_id")
+    rows = rows.withColumn("c2w", F.when(F.col("c2w").isNull(), F.raise_error(missing).cast("array<double>")).otherwise(F.col("c2w")))
     number = F.coalesce(F.get("instance_ids", F.col("pos")), F.col("pos").cast("long"))
     return rows.select(
         *FK, F.format_string("obj_%d", number).alias("obj_id"), F.col("o.model_list").alias("class_name"),

@@ -115,6 +115,14 @@ def file_counts(documents: DataFrame) -> DataFrame:
     return documents.select("path", "source_dir", "scene_id", F.greatest(F.size("samples"), F.lit(0)).alias("n_samples"))
 
 
+def placement_rows(documents: DataFrame) -> DataFrame:
+    """One row per placement of placement documents, with the fields of its object."""
+    objects = documents.select("scene_id", "frame_id", F.posexplode("objects").alias("object_pos", "o"))
+    return objects.select("scene_id", "frame_id", "object_pos", "o.object_id", "o.class_name", F.explode("o.placements").alias("p")).select(
+        "scene_id", "frame_id", "object_pos", "object_id", "class_name", "p.*"
+    )
+
+
 def load_placements_back(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
     """Placement documents of the current layout or of the older {config, objects} one."""
     return spark.read.schema(PLACEMENTS_FILE).option("multiLine", not lines).json(glob)
