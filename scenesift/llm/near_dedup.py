@@ -26,6 +26,8 @@ REGION_ROWS = 20_000
 REACH, SMALL = 3, 16
 #: Least estimated similarity of a pair that is confirmed on full sets: over four standard errors below the bound.
 LOOSE = 0.62
+#: Ids that may be broadcast: eight bytes each, so some 20 MB with the hash table.
+BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at a time.
 CHUNK = 2 << 20
 
@@ -217,7 +219,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("lo", "hi")], names=["lo", "hi"])
 
     # Six bytes of each hash: two sets agree by chance in one shingle with probability below 1e-6.
-    known = texts.join(wanted, "node").mapInArrow(sets, "node long, shingles binary")
+    wanted = stored(wanted)
+    # Few ids go to the texts; many are joined by shuffling both.
+    few = wanted.count() <= BROADCAST_IDS
+    known = texts.join(F.broadcast(wanted) if few else wanted, "node").mapInArrow(sets, "node long, shingles binary")
     both = pairs.join(known.toDF("lo", "a"), "lo").join(known.toDF("hi", "b"), "hi").select("lo", "hi", "a", "b")
     return both.mapInArrow(compare, "lo long, hi long").distinct()
 
