@@ -18,12 +18,11 @@ SHINGLE, PERCENT = 4, 80
 #: Sorted signature orders, and the hashes that rows of one region of an order share at least. A pair at the bound
 #: shares a region of some order with probability 1 - (1 - 0.8^4)^24 > 0.99999.
 TREES, DEPTH = 24, 4
-#: Further hashes that sort a region.
-SORTED = 4
-#: A region of more rows is cut by its next two hashes, down to the last of the sorted ones.
-REGION_ROWS = 20_000
-#: Neighbours on each side of a row in the order of its region; regions and families up to SMALL rows compare all rows.
-REACH, SMALL = 3, 16
+#: Further hashes that sort a region, one byte of each.
+SORTED = 16
+#: Regions and families up to SMALL rows compare all rows. In a larger region the depth adapts: a row meets the REACH
+#: rows on each side in the sorted order, which share its longest prefixes.
+REACH, SMALL = 8, 16
 #: Least estimated similarity of a pair that is confirmed on full sets: over four standard errors below the bound.
 LOOSE = 0.62
 #: Ids that may be broadcast: eight bytes each, so some 20 MB with the hash table.
@@ -103,16 +102,10 @@ def forest(nodes: DataFrame) -> DataFrame:
                 region = np.full(len(mins), tree, np.uint64)
                 for k in own[:DEPTH]:
                     region = mix(region * np.uint64(31) + mins[:, k].astype(np.uint64))
-                label = np.ascontiguousarray(mins[:, own[DEPTH:]].astype(">u4"))
+                label = np.ascontiguousarray(mins[:, own[DEPTH:]].astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column("node"), pa.array([x.tobytes() for x in label], pa.binary())], names=["region", "node", "label"])
 
-    rows = nodes.select("node", "mins").mapInArrow(run, "region long, node long, label binary")
-    for level in range(SORTED // 2):
-        # Adaptive depth: only regions with more rows than a task should sort are named by more hashes.
-        large = rows.groupBy("region").count().filter(F.col("count") > REGION_ROWS).select("region", F.lit(True).alias("large"))
-        deeper = F.xxhash64("region", F.substring("label", 8 * level + 1, 8))
-        rows = rows.join(large, "region", "left").select(F.when(F.col("large"), deeper).otherwise(F.col("region")).alias("region"), "node", "label")
-    return rows
+    return nodes.select("node", "mins").mapInArrow(run, "region long, node long, label binary")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -140,7 +133,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["lo", "hi"])
             region, node = region[1 - SMALL :], node[1 - SMALL :]
 
-    dealt = rows.repartition("region").sortWithinPartitions("region", "label", "node").select("region", "node")
+    # Ranges of (region, label): a large region is sorted by several tasks, which cut it where prefixes differ most.
+    dealt = rows.repartitionByRange("region", "label").sortWithinPartitions("region", "label", "node").select("region", "node")
     return dealt.mapInArrow(run, "lo long, hi long").distinct()
 
 
@@ -159,13 +153,12 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "lo long, hi long")
 
 
-def family_pairs(close: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(lo, hi) within families of loosely close nodes.
+def family_pairs(close: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lo, hi) within small families of loosely close nodes, and (centre, node) in large ones.
 
     A family up to SMALL nodes gives all its pairs. In a larger one every node is paired with the centre: the node
     that agrees best with the commonest signature values of the family. Copies of one text with edits of their own
-    agree with the common text at least as well as with each other; those that share edits stand next to each other
-    in the sorted orders.
+    agree with the common text at least as well as with each other.
     """
     family = stored(connected_labels(close, [], "lo", "hi"))
     sizes = family.groupBy("root").agg(F.count("*").alias("n"))
@@ -185,13 +178,14 @@ def family_pairs(close: DataFrame, nodes: DataFrame) -> DataFrame:
     common = places.groupBy("root", "place", "value").count().groupBy("root", "place").agg(F.max_by("value", F.struct("count", "value")).alias("value"))
     score = places.join(common, ["root", "place", "value"]).groupBy("root", "node").count()
     centre = score.groupBy("root").agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("centre"))
-    star = large.select("root", "node").join(centre, "root").filter("node <> centre").select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi"))
-    return within.unionByName(star)
+    return within, large.select("root", "node").join(centre, "root").filter("node <> centre").select("centre", "node")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("lo").alias("node")).union(pairs.select("hi")).distinct()
+def packed_sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the full sets of the wanted nodes, six bytes of each hash.
+
+    Two sets agree by chance in one shingle with probability below 1e-6.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +194,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 packed = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in shingle_sets(content[a:b], size)]
                 yield pa.RecordBatch.from_arrays([nodes.slice(a, b - a), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
-    def unpacked(packed: bytes) -> np.ndarray:
-        wide = np.zeros((len(packed) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).ravel()
+    wanted = stored(wanted)
+    # Few ids go to the texts; many are joined by shuffling both.
+    few = wanted.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(wanted) if few else wanted, "node").mapInArrow(sets, "node long, shingles binary")
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,15 +222,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (n + m - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("lo", "hi")], names=["lo", "hi"])
 
-    # Six bytes of each hash: two sets agree by chance in one shingle with probability below 1e-6.
-    wanted = stored(wanted)
-    # Few ids go to the texts; many are joined by shuffling both.
-    few = wanted.count() <= BROADCAST_IDS
-    known = texts.join(F.broadcast(wanted) if few else wanted, "node").mapInArrow(sets, "node long, shingles binary")
-    both = pairs.join(known.toDF("lo", "a"), "lo").join(known.toDF("hi", "b"), "hi").select("lo", "hi", "a", "b")
+    both = pairs.join(sets.toDF("lo", "a"), "lo").join(sets.toDF("hi", "b"), "hi").select("lo", "hi", "a", "b")
     return both.mapInArrow(compare, "lo long, hi long").distinct()
 
 
+def shared_edits(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lo, hi): nodes of a large family that share a shingle which its centre has not.
+
+    A node that is not linked to the centre can only be linked to one that shares an edit with it. Nodes meet by
+    such shingles as they meet in a region of the forest: all of them in a small group, near ones in a large one.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for centre, node, x, y in zip(*(batch.column(c).to_pylist() for c in ("centre", "node", "a", "b"))):
+                own = np.setdiff1d(unpacked(y), unpacked(x), assume_unique=True)
+                region = mix(own ^ mix(np.full(len(own), centre & 0xFFFFFFFFFFFFFFFF, np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.full(len(own), node, np.int64)), pa.array([b""] * len(own), pa.binary())], names=["region", "node", "label"])
+
+    both = star.join(sets.toDF("centre", "a"), "centre").join(sets.toDF("node", "b"), "node").select("centre", "node", "a", "b")
+    return neighbours(both.mapInArrow(added, "region long, node long, label binary"))
+
+
 def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Groups of near-duplicate sample texts.
 
@@ -235,7 +252,7 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     words as one shingle when there are fewer). Texts are linked when 100 * intersection >= ``percent`` * union.
 
     Texts with equal sets become one node. In each sorted order of the signatures a node meets the nodes with the
-    longest common prefix; large regions are sorted by more hashes. Close pairs make loose families, in which small
+    longest common prefix, the deeper the denser the region. Close pairs make loose families, in which small
     ones are compared in full and large ones with their centre; every proposed pair is confirmed on full sets, and
     the links give the groups. No group is held by one task, and no pairs of equal texts are made.
 
@@ -254,10 +271,15 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     nodes = stored(nodes.withColumn("sketch", every_fourth("mins")))
     near = neighbours(forest(nodes))
     close = stored(estimated(near, nodes))
-    more = family_pairs(close, nodes)
+    within, star = family_pairs(close, nodes)
+    star = stored(star)
+    more = within.unionByName(star.select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")))
     candidates = stored(close.unionByName(estimated(more.join(close, ["lo", "hi"], "left_anti"), nodes)).distinct())
+    ends = candidates.select(F.col("lo").alias("node")).union(candidates.select("hi")).union(star.select("node")).union(star.select("centre"))
     with_node = texts.select(F.col("key").alias("node"), "text").filter(F.col("node").isNotNull())
-    links = stored(confirmed(candidates, with_node, shingle, percent))
+    sets = stored(packed_sets(ends.distinct(), with_node, shingle))
+    others = estimated(shared_edits(star, sets).join(candidates, ["lo", "hi"], "left_anti"), nodes)
+    links = stored(confirmed(candidates, sets, percent).unionByName(confirmed(others, sets, percent)))
     groups = connected_labels(links, [], "lo", "hi")
     of_node = nodes.select("d1", "d2", "node").join(groups, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     rows = signed.drop("mins").join(of_node, ["d1", "d2"], "left")

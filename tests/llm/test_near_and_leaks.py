@@ -49,7 +49,8 @@ def test_groups_of_given_documents(spark):
 
 
 def test_deep_regions(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "REGION_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "SMALL", 5)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 3)
     rows = grounding_texts(7)
     out = near_duplicates(spark.createDataFrame(rows, "sample_id long, text string")).collect()
     assert {r.sample_id: (r.n_shingles, r.component_id) for r in out} == brute.near_components(rows)
