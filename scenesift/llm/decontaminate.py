@@ -18,8 +18,10 @@ EDITS = 20
 #: with few edits; 24 x 8 tables of two places find nine in ten of those with the most edits allowed, and all exact ones.
 WALKS, TABLES, SAMPLED = 24, 8, 2
 #: Items that one pass holds; more items make more passes over the texts.
-BLOCK_ITEMS = 20_000
-CHUNK = 2 << 20
+BLOCK_ITEMS = 5_000
+CHUNK = 8 << 20
+#: Windows that are embedded at a time.
+WINDOWS = 2000
 FILTER_BITS = np.uint64(20)
 
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("distance", T.IntegerType())])
@@ -29,36 +31,46 @@ def allowed(n_words: int) -> int:
     return n_words * EDITS // 100
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of rows of word hashes, three times as long: copy the word at the pointer, then move on or stay.
+def drawn(n: int) -> np.ndarray:
+    """Places (walk, table, sample) of an embedding of ``n`` words that the tables sample."""
+    draw = mix(np.arange(WALKS * TABLES * SAMPLED, dtype=np.uint64) + np.uint64(n << 32))
+    return (draw % np.uint64(3 * n)).astype(np.int64).reshape(WALKS, TABLES, SAMPLED)
 
-    Whether the pointer moves is a random bit of (walk, step, word), so two texts that differ by an edit soon walk
-    together again, and a small edit distance becomes a small Hamming distance.
-    """
-    m, n = windows.shape
-    padded = np.concatenate((windows, np.zeros((m, 1), np.uint64)), axis=1)
-    out, at, row = np.zeros((m, 3 * n), np.uint64), np.zeros(m, np.int64), np.arange(m)
-    for step in range(3 * n):
-        word = padded[row, at]
-        out[:, step] = word
-        move = mix(word ^ mix(np.full(m, walk * 1_000_003 + step + 1, np.uint64))) & np.uint64(1)
-        at = np.minimum(at + move.astype(np.int64), n)
-    return out
+
+def walk_odds(steps: int) -> np.ndarray:
+    """(step, walk) odd multipliers: the top bit of multiplier times word hash says whether a walk moves on."""
+    return mix(np.arange(1, steps * WALKS + 1, dtype=np.uint64)).reshape(steps, WALKS) | np.uint64(1)
 
 
-def table_keys(windows: np.ndarray) -> np.ndarray:
-    """A key for each row and table: a hash of the table's sampled places of its walk's embedding."""
-    m, n = windows.shape
-    keys = np.zeros((m, WALKS * TABLES), np.uint64)
-    for walk in range(WALKS):
-        embedded = embed(windows, walk)
-        for table in range(TABLES):
-            k = walk * TABLES + table
-            draw = np.random.default_rng([n, walk, table]).choice(3 * n, min(SAMPLED, 3 * n), replace=False)
-            h = np.full(m, k, np.uint64)
-            for place in np.sort(draw):
-                h = mix(h ^ (embedded[:, place] + np.uint64(place)))
-            keys[:, k] = h
+def embed(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(step, walk, row) pointers of the CGK walks over rows of word hashes; an embedding is three times as long.
+
+    Every step copies the word at the pointer, then moves on or stays: a random bit of (walk, step, word). Two texts
+    that differ by an edit soon walk together again, so a small edit distance becomes a small Hamming distance.
+    """
+    m, n = words.shape
+    at, row, steps = np.zeros((WALKS, m), np.int64), np.arange(m), 3 * (n - 1)
+    trail, odds = np.zeros((steps, WALKS, m), np.int32), walk_odds(steps)
+    for step in range(steps):
+        trail[step] = at
+        at += ((words[row, at] * odds[step][:, None]) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, lengths, out=at)
+    return trail
+
+
+def table_keys(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(walk, table, row) keys of rows of word hashes, filled up with zeros: a hash of the sampled embedded words."""
+    padded = np.concatenate((words, np.zeros((len(words), 1), np.uint64)), axis=1)
+    trail = embed(padded, lengths)
+    keys = np.zeros((WALKS, TABLES, len(words)), np.uint64)
+    table = np.arange(WALKS * TABLES, dtype=np.uint64).reshape(WALKS, TABLES, 1)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        h = np.broadcast_to(mix(table + np.uint64(int(n) << 32)), (WALKS, TABLES, len(rows)))
+        for sample in np.moveaxis(drawn(int(n)), 2, 0):
+            at = trail[sample[:, :, None], np.arange(WALKS)[:, None, None], rows[None, None, :]]
+            h = mix(h ^ padded[rows[None, None, :], at])
+        keys[:, :, rows] = h
     return keys
 
 
@@ -102,13 +114,19 @@ class Items:
             sieve[(h >> (np.uint64(64) - FILTER_BITS)).astype(np.int64)] = True
             # What a seed asks for is a window of the item's length with the seed at its place.
             self.seeds[size] = (sieve, h, np.array([[len(self.words[r[1]]), r[2]] for r in rows_], np.int64))
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
-        for n in sorted({len(w) for w in self.words if len(w)}):
-            some = [k for k, w in enumerate(self.words) if len(w) == n]
-            self.tables[n] = [{} for _ in range(WALKS * TABLES)]
-            for item, keys in zip(some, table_keys(np.stack([self.words[k] for k in some])).tolist()):
-                for k, value in enumerate(keys):
-                    self.tables[n][k].setdefault(value, []).append(item)
+        some = [k for k, w in enumerate(self.words) if len(w)]
+        lengths = np.array([len(self.words[k]) for k in some], np.int64)
+        self.width = int(lengths.max()) if some else 1
+        keys = table_keys(self._rows([self.words[k] for k in some]), lengths).reshape(WALKS * TABLES, -1)
+        # One sorted array for all tables, whose number is part of each key.
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.owners = keys.ravel()[order], np.tile(np.array(some, np.int64), WALKS * TABLES)[order]
+
+    def _rows(self, words: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(words), self.width), np.uint64)
+        for k, w in enumerate(words):
+            out[k, : len(w)] = w
+        return out
 
     def windows(self, h: np.ndarray, firsts: np.ndarray) -> dict[int, np.ndarray]:
         """(text, start) of the windows of each item length that hold an exact seed at its place.
@@ -134,25 +152,34 @@ class Items:
         """Nearest place of every leaked item in each text."""
         _, _, _, h, firsts = tokens([t.lower() for t in texts])
         best: list[dict[int, tuple]] = [{} for _ in texts]
-        for n, (text, starts) in self.windows(h, firsts).items():
-            for t in np.unique(text):
-                self._judge(h, firsts[t], firsts[t + 1], n, allowed(n), starts[text == t], best[t])
+        found = self.windows(h, firsts)
+        if found:
+            text, start = (np.concatenate([w[k] for w in found.values()]) for k in (0, 1))
+            n = np.repeat(np.fromiter(found, np.int64), [w.shape[1] for w in found.values()])
+            for a in range(0, len(text), WINDOWS):
+                self._judge(h, firsts, text[a : a + WINDOWS], start[a : a + WINDOWS], n[a : a + WINDOWS], best)
         return [[{"item_id": self.ids[k], "first_word": v[1], "n_words": v[2], "distance": v[0]} for k, v in sorted(b.items())] for b in best]
 
-    def _judge(self, h, lo, hi, n, edits, starts, best):
-        place = starts[:, None] + np.arange(n)[None, :]
-        inside = (place >= lo) & (place < hi)
-        windows = np.where(inside, h[np.clip(place, lo, hi - 1)], np.uint64(0))
-        keys = table_keys(windows)
-        for start, row in zip(starts.tolist(), keys.tolist()):
-            items = {item for k, value in enumerate(row) for item in self.tables[n][k].get(value, ())}
-            for item in items:
-                if best.get(item, (1,))[0] == 0:
-                    continue
-                a, b = max(lo, start - edits), min(hi, start + n + edits)
-                distance, x, y = best_match(self.words[item], h[a:b])
-                if distance <= edits and distance < best.get(item, (n + 1,))[0]:
-                    best[item] = (distance, int(a - lo + x), int(y - x))
+    def _judge(self, h, firsts, text, start, n, best):
+        place = start[:, None] + np.arange(self.width)[None, :]
+        lo, hi = firsts[text], firsts[text + 1]
+        inside = (place >= lo[:, None]) & (place < hi[:, None]) & (np.arange(self.width)[None, :] < n[:, None])
+        words = np.where(inside, h[np.clip(place, 0, len(h) - 1)], np.uint64(0))
+        keys = table_keys(words, n).reshape(WALKS * TABLES, -1)
+        a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        pairs = set()
+        while (a < b).any():
+            some = np.nonzero(a < b)
+            pairs.update(zip(some[1].tolist(), self.owners[a[some]].tolist()))
+            a = a + 1
+        for row, item in sorted(pairs):
+            known, edits = best[text[row]], allowed(int(n[row]))
+            if known.get(item, (1,))[0] == 0:
+                continue
+            x, y = max(int(lo[row]), int(start[row]) - edits), min(int(hi[row]), int(start[row] + n[row]) + edits)
+            distance, began, ended = best_match(self.words[item], h[x:y])
+            if distance <= edits and distance < known.get(item, (edits + 1,))[0]:
+                known[item] = (distance, x - int(lo[row]) + began, ended - began)
 
 
 def find_leaks(samples: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -177,10 +204,11 @@ def find_leaks(samples: DataFrame, items: DataFrame, text: str = "text", item: s
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())]))
     for block in range(blocks):
         chosen = known.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block).orderBy("k", "t")
-        held = samples.sparkSession.sparkContext.broadcast([(r["k"], r["t"]) for r in chosen.collect()])
+        # A block's index takes some 3 kB for each item.
+        held = samples.sparkSession.sparkContext.broadcast(Items([(r["k"], r["t"]) for r in chosen.collect()]))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Items(held.value)
+            index = held.value
             for batch in batches:
                 texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
                 leaks, at, size = [], 0, 0
