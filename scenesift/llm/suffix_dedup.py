@@ -17,7 +17,7 @@ from scenesift.llm.packed import ANSWER, answers, bits, first_of_runs, gather, q
 LENGTH = 200
 PART_BYTES = 8 << 20
 #: Window starts that are hashed at a time, whatever the length of a text.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 POSITION = np.uint64((1 << 24) - 1)
 FULL, SEND = 1, 2
 
@@ -74,13 +74,11 @@ class Bucket:
         grams = mix((sums[self.gram :] - sums[: -self.gram]) * down[: len(data) - self.gram + 1])
         keys = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
         place = (least_places(keys, self.length - self.gram + 1) & POSITION).astype(np.int64)
-        inside = np.zeros(n + 1, np.int64)
-        lengths = np.diff(self.starts) - 1
-        for a, size in zip(self.starts[:-1], lengths):
-            a, b = max(0, a - at), min(n, a + size - self.length + 1 - at)
-            if a < b:
-                inside[a] += 1
-                inside[b] -= 1
+        # Starts whose string ends within the same text.
+        a, b = np.clip(self.starts[:-1] - at, 0, n), np.clip(self.starts[1:] - self.length - at, 0, n)
+        inside = np.zeros(n + 1, np.int32)
+        np.add.at(inside, a[a < b], 1)
+        np.add.at(inside, b[a < b], -1)
         start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
         if not len(start):
             return none
