@@ -67,7 +67,9 @@ def small_cuts(s):
 scene_query("stride_sample", query("px", out(f"{FKC} u:i v:i d:d".replace(",", ""), "px WHERE d > 0 AND u % 2 = 0 AND v % 2 = 0")))(
     lambda s: pts.stride_sample(s.depth, 2)
 )
-scene_query("depth_to_points", query("pts", out("scene_id frame_id u:i v:i x:d y:d z:d", "pts")))(lambda s: s.points.drop("d"))
+scene_query("depth_to_points", query("pts", out("scene_id frame_id u:i v:i x:d y:d z:d", "pts")))(
+    lambda s: pts.depth_to_points(s.depth, s.camera, s.cfg.pixel_stride).drop("d")
+)
 scene_query("depth_to_pointcloud", query("px cam pts", out("scene_id frame_id u:i v:i x:d y:d z:d", "pts WHERE u % 4 = 0 AND v % 4 = 0")))(
     lambda s: pts.depth_to_points(s.depth, s.camera, 4).drop("d")
 )

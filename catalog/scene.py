@@ -13,6 +13,7 @@ from scenesift.functions.geometry import euler_to_matrix, translate
 from scenesift.operators import occupancy as occ
 from scenesift.operators import placement as plc
 from scenesift.operators.points import FK, depth_to_points
+from scenesift.session import cut_lineage
 
 CONFIG = PlacementConfig(voxel_size=5.0, pixel_stride=1, grid_padding=10.0, safety_margin=0.0, yaw_steps=4)
 
@@ -49,7 +50,8 @@ class Scene:
 
     @cached_property
     def points(self):
-        return depth_to_points(self.depth, self.camera, self.cfg.pixel_stride)
+        """Written once: bounds, rays and surfaces all start from it."""
+        return cut_lineage(depth_to_points(self.depth, self.camera, self.cfg.pixel_stride))
 
     @cached_property
     def grid(self):

@@ -91,11 +91,11 @@ def plan_placements(depth_px: DataFrame, camera: DataFrame, objects: DataFrame,
     ``surface`` replaces the surface step: a function
     ``(points, columns, grid, objects, object_voxels) -> cells(object, table_z, i, j)``.
 
-    Lineage is cut where a result feeds several branches: the packed grid, the object
-    voxels, poses, the surface cells, the packed search rows and the surviving candidates.
+    Lineage is cut where a result feeds several branches: the points (so depth is read once), the packed grid, the
+    object voxels, poses, the surface cells, the packed search rows and the surviving candidates.
     """
     objects = cut_lineage(objects)
-    points = depth_to_points(depth_px, camera, cfg.pixel_stride)
+    points = cut_lineage(depth_to_points(depth_px, camera, cfg.pixel_stride))
     grid = cut_lineage(grid_bounds(points, camera, cfg.voxel_size, cfg.grid_padding))
     seen = occupancy_columns(points, camera, grid)
     own = cut_lineage(voxelize_obb(objects, grid))
