@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenesift.llm.common import BLANK, stored
@@ -22,7 +22,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     lines = lines.select("_doc_row", "_doc_key", F.filter("every", lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]")).alias("some")).filter(F.size("some") > 0)
     count = rf"size(filter(split(x.line, '{BLANK}'), w -> w != ''))".replace("\\", "\\\\")
     lines = lines.withColumn("words", F.expr(f"transform(some, x -> {count})"))
-    # Words up to and including each line, by one pass that appends to an array of growing sums.
+    # Words up to and including each line.
     before = Window.partitionBy("_doc_row").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.select("_doc_row", "_doc_key", F.posexplode(F.arrays_zip("some", "words"))).select(
         "_doc_row", "_doc_key", (F.col("pos") + 1).alias("seq"), F.col("col.some.pos").alias("pos"),
@@ -109,8 +109,9 @@ def remove_repeated_lines(samples: DataFrame, key: str = "sample_id", text: str
     # Positions are of whole runs; the lines without a word among them stay.
     rows = rows.withColumn("_gone", F.filter("_gone", lambda i: F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]")))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")
+    n_of = lambda array: F.when(F.col(array).isNull(), F.lit(0)).otherwise(F.size(array)).cast("long")
     out = rows.select(
         *[F.col("_doc_text").alias(text) if c == text else F.col(c) for c in own],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        n_of("_lines").alias("n_lines"), n_of("_gone").alias("n_removed"),
         F.when(F.col("_gone").isNull(), F.col("_doc_text")).otherwise(kept).alias("kept"))
     return out
