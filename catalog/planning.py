@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.oracle_cte import FKC, LK, MIN_VOXELS, OB, PZ, apply, dilated, eroded, out, query, _K
+from catalog.oracle_cte import FKC, OB, PZ, apply, dilated, eroded, out, query, _K
 from catalog.scene import CONFIG, Scene
 from catalog.tidy import spread_array, tidy
 from catalog.views import duck, load
