@@ -317,6 +317,9 @@ CAND_OUT = "scene_id frame_id obj_id yaw_idx:i gx:i gy:i"
 scene_query("collision_search", query("cand", out(CAND_OUT, "cand")))(
     lambda s: plc.row_candidates(plc.search_rows((q := Search(s)).s.voxels, q.s.shapes, q.region, q.obstacles), "raw")
 )
+scene_query("collision_search_margin", query("cand_m", out(CAND_OUT, "cand_m")))(
+    lambda s: plc.collision_search((q := Search(s)).s.base, q.s.grid, q.s.voxels, q.s.shapes, q.region, 5.0, CONFIG.voxel_size).select(*CANDIDATE)
+)
 scene_query("search_meta", query("cand region", out("scene_id frame_id obj_id total_xy:i valid_raw:i yaw_steps:i valid_yaw_angles:i landing_z:i table_z:i", f"""(
  SELECT {OB}, grid_x * grid_y AS total_xy, count(yaw_idx) AS valid_raw, 4 AS yaw_steps, count(DISTINCT yaw_idx) AS valid_yaw_angles, region.landing_z, region.table_z
  FROM region LEFT JOIN cand USING ({OB}) GROUP BY {OB}, grid_x, grid_y, region.landing_z, region.table_z)""")))(
