@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenesift.llm.common import mix, stored, tokens, window_hashes
-from scenesift.operators.components import connected_labels
+from scenesift.llm.components import connected
 
 #: Words of a shingle, and the least similarity of linked texts in per cent.
 SHINGLE, PERCENT = 4, 80
@@ -160,7 +160,7 @@ def family_pairs(close: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     that agrees best with the commonest signature values of the family. Copies of one text with edits of their own
     agree with the common text at least as well as with each other.
     """
-    family = stored(connected_labels(close, [], "lo", "hi"))
+    family = stored(connected(close))
     sizes = family.groupBy("root").agg(F.count("*").alias("n"))
     small = family.join(sizes.filter(F.col("n") <= SMALL).select("root"), "root")
     within = small.select("root", F.col("node").alias("lo")).join(small.select("root", F.col("node").alias("hi")), "root").filter("lo < hi").select("lo", "hi")
@@ -280,7 +280,7 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     sets = stored(packed_sets(ends.distinct(), with_node, shingle))
     others = estimated(shared_edits(star, sets).join(candidates, ["lo", "hi"], "left_anti"), nodes)
     links = stored(confirmed(candidates, sets, percent).unionByName(confirmed(others, sets, percent)))
-    groups = connected_labels(links, [], "lo", "hi")
+    groups = connected(links)
     of_node = nodes.select("d1", "d2", "node").join(groups, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     rows = signed.drop("mins").join(of_node, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.when(F.col("root") >= 0, F.col("root")).otherwise(F.when(F.col("key").isNotNull(), F.col("root"))))
