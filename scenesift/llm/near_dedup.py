@@ -22,7 +22,7 @@ TREES, DEPTH = 24, 4
 SORTED = 16
 #: Regions and families up to SMALL rows compare all rows. In a larger region the depth adapts: a row meets the REACH
 #: rows on each side in the sorted order, which share its longest prefixes.
-REACH, SMALL = 3, 16
+REACH, SMALL = 2, 16
 #: Least estimated similarity of a pair that is confirmed on full sets: over four standard errors below the bound.
 LOOSE = 0.62
 #: Ids that may be broadcast: eight bytes each, so some 20 MB with the hash table.
