@@ -20,9 +20,11 @@ SHINGLE, PERCENT = 4, 80
 TREES, DEPTH = 24, 4
 #: Further hashes that sort a region, one byte of each.
 SORTED = 16
-#: Regions and families up to SMALL rows compare all rows. In a larger region the depth adapts: a row meets the REACH
-#: rows on each side in the sorted order, which share its longest prefixes.
+#: Regions and families up to SMALL rows compare all rows. In a larger region a row meets the REACH rows on each side
+#: in the sorted order; that only finds most links early, the pairs of its rows are settled by ``exact_rest``.
 REACH, SMALL = 2, 16
+#: Counters of shingles, which order them from rare to common; any order gives the same links.
+BINS = 1 << 20
 #: Least estimated similarity of a pair that is confirmed on full sets: over four standard errors below the bound.
 LOOSE = 0.62
 #: Ids that may be broadcast: eight bytes each, so some 20 MB with the hash table.
@@ -109,29 +111,34 @@ def forest(nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(lo, hi): rows of a region that stand near each other in its sorted order, which share the longest prefixes."""
+    """(lo, hi): all pairs of a small region, and those near each other in the sorted order of a larger one.
+
+    Each row of a larger region, and of a region that two tasks may have parts of, also gives (node, node).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        region, node, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             fresh = len(region)
             region = np.concatenate((region, batch.column(0).to_numpy()))
             node = np.concatenate((node, batch.column(1).to_numpy()))
             edge = np.flatnonzero(np.diff(region, prepend=region[:1] - 1)) if len(region) else np.zeros(0, np.int64)
             size = np.repeat(np.diff(np.append(edge, len(region))), np.diff(np.append(edge, len(region))))
-            found = []
+            first = region[0] if first is None and len(region) else first
+            dense = node[(size > SMALL) | (region == first)]
+            found = [np.stack([dense, dense])]
             for step in range(1, min(SMALL, len(region))):
                 same = region[step:] == region[:-step]
                 same &= (step <= REACH) | (size[step:] <= SMALL)
                 same[: max(0, fresh - step)] = False  # pairs of rows that the last batch had already
                 at = np.flatnonzero(same)
                 found.append(np.stack([node[at], node[at + step]]))
-            if found:
-                pair = np.concatenate(found, axis=1)
-                lo, hi = pair.min(axis=0), pair.max(axis=0)
-                pair = np.unique(np.stack([lo, hi])[:, lo != hi], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["lo", "hi"])
-            region, node = region[1 - SMALL :], node[1 - SMALL :]
+            pair = np.concatenate(found, axis=1)
+            pair = np.unique(np.stack([pair.min(axis=0), pair.max(axis=0)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["lo", "hi"])
+            region, node = region[-SMALL:], node[-SMALL:]
+        cut = node[region == region[-1]] if len(region) else node
+        yield pa.RecordBatch.from_arrays([pa.array(cut), pa.array(cut)], names=["lo", "hi"])
 
     # Ranges of (region, label): a large region is sorted by several tasks, which cut it where prefixes differ most.
     dealt = rows.repartitionByRange("region", "label").sortWithinPartitions("region", "label", "node").select("region", "node")
@@ -226,6 +233,69 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "lo long, hi long").distinct()
 
 
+def tallied(sets: DataFrame) -> np.ndarray:
+    """How many of the sets have a shingle of each of BINS kinds: an array of one size, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for a, b in chunks(packed := batch.column("shingles").to_pylist()):
+                total += np.bincount((unpacked(b"".join(packed[a:b])) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bin", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BINS, np.int64)
+    out[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, tally: np.ndarray, percent: int) -> DataFrame:
+    """(token, node, root, size, place, ahead): the rarest shingles of each set, with their place in its order.
+
+    Two sets at the bound share a shingle among those of the larger one and the ``ahead`` ones of the smaller one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for node, root, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "shingles"))):
+                own = unpacked(packed)
+                n = len(own)
+                most, ahead = n + 1 + -percent * n // 100, n + 1 + -2 * percent * n // (100 + percent)
+                order = np.lexsort((own, tally[(own & np.uint64(BINS - 1)).astype(np.int64)]))[:most]
+                place = np.arange(len(order))
+                found.append((own[order].view(np.int64), *(np.full(len(order), v, np.int64) for v in (node, root, n)), place, place < ahead))
+            columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "root", "size", "place", "ahead"])
+
+    return sets.select("node", "root", "shingles").mapInArrow(run, "token long, node long, root long, size long, place long, ahead boolean")
+
+
+def exact_rest(links: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of large regions that the given ones do not connect yet: a prefix-filter join.
+
+    Whatever is connected needs no further link, so a shingle whose nodes are all connected gives no pair, and in the
+    others only nodes of different groups meet. With a and b shingles from a shared one on, in the common order from
+    rare to common, two sets share at most min(a, b); pairs that cannot reach the bound are not made.
+    """
+    own = stored(sets.join(dense, "node"))
+    tally = tallied(own)
+    rooted = own.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(prefixes(rooted, tally, percent))
+    each = rows.groupBy("token", "root").count()
+    major = each.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n")).filter("n > 1")
+    rows = stored(rows.join(major.select("token", "major"), "token"))
+    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place")], "ahead", "major") for x in "ab")
+    a, b = a.filter("ahead").drop("ahead"), b.drop("ahead")
+    minor_a, minor_b = F.col("root_a") != F.col("major"), F.col("root_b") != F.col("major")
+    both = a.filter(minor_a).drop("major").join(b.drop("major"), "token").unionByName(a.filter(~minor_a).drop("major").join(b.filter(minor_b).drop("major"), "token"))
+    fit = both.filter(f"""root_a <> root_b AND (size_a < size_b OR size_a = size_b AND node_a < node_b) AND 100 * size_a >= {percent} * size_b
+      AND {100 + percent} * least(size_a - place_a, size_b - place_b) >= {percent} * (size_a + size_b)""")
+    pairs = fit.select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
+    return confirmed(pairs, sets, percent)
+
+
 def shared_edits(star: DataFrame, sets: DataFrame) -> DataFrame:
     """(lo, hi): nodes of a large family that share a shingle which its centre has not.
 
@@ -241,7 +311,7 @@ def shared_edits(star: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.full(len(own), node, np.int64)), pa.array([b""] * len(own), pa.binary())], names=["region", "node", "label"])
 
     both = star.join(sets.toDF("centre", "a"), "centre").join(sets.toDF("node", "b"), "node").select("centre", "node", "a", "b")
-    return neighbours(both.mapInArrow(added, "region long, node long, label binary"))
+    return neighbours(both.mapInArrow(added, "region long, node long, label binary")).filter("lo < hi")
 
 
 def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -251,10 +321,11 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     lower-cased, words stand between ASCII blanks, and a text's set has its different ``shingle``-word shingles (all
     words as one shingle when there are fewer). Texts are linked when 100 * intersection >= ``percent`` * union.
 
-    Texts with equal sets become one node. In each sorted order of the signatures a node meets the nodes with the
-    longest common prefix, the deeper the denser the region. Close pairs make loose families, in which small
-    ones are compared in full and large ones with their centre; every proposed pair is confirmed on full sets, and
-    the links give the groups. No group is held by one task, and no pairs of equal texts are made.
+    Texts with equal sets become one node. In each sorted order of the signatures the nodes of a small region all
+    meet, and in a larger one those with the longest common prefix. Close pairs make loose families, in which small
+    ones are compared in full and large ones with their centre; every proposed pair is confirmed on full sets. What
+    this leaves apart among the nodes of larger regions is joined exactly by the rarest shingles. The links give the
+    groups. No group is held by one task, and no pairs of equal texts are made.
 
     Returns (key, n_shingles, component_id, kept), one row for each input row: the smallest id reachable over links,
     and whether the row has it. Null, empty and blank texts have no shingles, stand alone and are kept. Rows with
@@ -269,18 +340,19 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     nodes = full.groupBy("d1", "d2").agg(F.coalesce(F.min("key"), F.first(unnamed)).alias("node"), F.first("mins").alias("mins"))
     every_fourth = F.udf(lambda m: np.frombuffer(m, np.uint8)[::4].tobytes(), T.BinaryType())
     nodes = stored(nodes.withColumn("sketch", every_fourth("mins")))
-    near = neighbours(forest(nodes))
-    close = stored(estimated(near, nodes))
+    near = stored(neighbours(forest(nodes)))
+    close = stored(estimated(near.filter("lo < hi"), nodes))
+    dense = near.filter("lo = hi").select(F.col("lo").alias("node"))
     within, star = family_pairs(close, nodes)
     star = stored(star)
     more = within.unionByName(star.select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")))
     candidates = stored(close.unionByName(estimated(more.join(close, ["lo", "hi"], "left_anti"), nodes)).distinct())
-    ends = candidates.select(F.col("lo").alias("node")).union(candidates.select("hi")).union(star.select("node")).union(star.select("centre"))
+    ends = candidates.select(F.col("lo").alias("node")).union(candidates.select("hi")).union(star.select("node")).union(star.select("centre")).union(dense)
     with_node = texts.select(F.col("key").alias("node"), "text").filter(F.col("node").isNotNull())
     sets = stored(packed_sets(ends.distinct(), with_node, shingle))
     others = estimated(shared_edits(star, sets).join(candidates, ["lo", "hi"], "left_anti"), nodes)
     links = stored(confirmed(candidates, sets, percent).unionByName(confirmed(others, sets, percent)))
-    groups = connected(links)
+    groups = connected(links.unionByName(exact_rest(links, dense, sets, percent)))
     of_node = nodes.select("d1", "d2", "node").join(groups, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     rows = signed.drop("mins").join(of_node, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.when(F.col("root") >= 0, F.col("root")).otherwise(F.when(F.col("key").isNotNull(), F.col("root"))))

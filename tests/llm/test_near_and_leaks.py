@@ -56,6 +56,22 @@ def test_deep_regions(spark, monkeypatch):
     assert {r.sample_id: (r.n_shingles, r.component_id) for r in out} == brute.near_components(rows)
 
 
+def test_no_link_rests_on_sorted_neighbours(spark, monkeypatch):
+    """Excerpts and edits of one text and variants of one form, none of which meets another in a large region."""
+    monkeypatch.setattr(near_dedup, "REACH", 0)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    rows = [base[a : 200 - r.randrange(40)] for a in range(0, 40)]
+    for _ in range(40):
+        form = base[:150] + [f"p{r.randrange(10**6)}" for _ in range(40)]
+        rows += [edited(form, r.randint(0, 4), r) for _ in range(2)]
+    texts = [" ".join(w) for w in rows]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    out = near_duplicates(spark.createDataFrame(rows, "sample_id long, text string")).collect()
+    assert {x.sample_id: (x.n_shingles, x.component_id) for x in out} == brute.near_components(rows)
+
+
 def test_null_ids_and_empty_table(spark):
     text = "one two three four five six seven"
     out = near_duplicates(spark.createDataFrame([(None, text), (5, text), (None, "a b c d e"), (None, None)], "sample_id long, text string")).collect()
