@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -272,46 +273,50 @@ def prefixes(sets: DataFrame, tally: np.ndarray, percent: int) -> DataFrame:
     return sets.select("node", "root", "shingles").mapInArrow(run, "token long, node long, root long, size long, place long, ahead boolean")
 
 
-def exact_rest(links: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of large regions that the given ones do not connect yet: a prefix-filter join.
-
-    Whatever is connected needs no further link, so a shingle whose nodes are all connected gives no pair, and in the
-    others only nodes of different groups meet. With a and b shingles from a shared one on, in the common order from
-    rare to common, two sets share at most min(a, b); pairs that cannot reach the bound are not made.
-    """
-    own = stored(sets.join(dense, "node"))
-    tally = tallied(own)
+def apart(links: DataFrame, own: DataFrame, tally: np.ndarray, percent: int) -> DataFrame:
+    """The ``prefixes`` whose shingle stands in ``n`` > 1 connected groups, with the group that most of its nodes have."""
     rooted = own.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(prefixes(rooted, tally, percent))
     each = rows.groupBy("token", "root").count()
-    major = each.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n")).filter("n > 1")
-    rows = stored(rows.join(major.select("token", "major"), "token"))
-    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place")], "ahead", "major") for x in "ab")
-    a, b = a.filter("ahead").drop("ahead"), b.drop("ahead")
-    minor_a, minor_b = F.col("root_a") != F.col("major"), F.col("root_b") != F.col("major")
-    both = a.filter(minor_a).drop("major").join(b.drop("major"), "token").unionByName(a.filter(~minor_a).drop("major").join(b.filter(minor_b).drop("major"), "token"))
-    fit = both.filter(f"""root_a <> root_b AND (size_a < size_b OR size_a = size_b AND node_a < node_b) AND 100 * size_a >= {percent} * size_b
-      AND {100 + percent} * least(size_a - place_a, size_b - place_b) >= {percent} * (size_a + size_b)""")
-    pairs = fit.select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
-    return confirmed(pairs, sets, percent)
+    major = each.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n"))
+    return stored(rows.join(major.filter("n > 1"), "token"))
 
 
-def shared_edits(star: DataFrame, sets: DataFrame) -> DataFrame:
-    """(lo, hi): nodes of a large family that share a shingle which its centre has not.
+def fitting(both: DataFrame, percent: int) -> DataFrame:
+    """(lo, hi): pairs of different groups that can reach the bound.
 
-    A node that is not linked to the centre can only be linked to one that shares an edit with it. Nodes meet by
-    such shingles as they meet in a region of the forest: all of them in a small group, near ones in a large one.
+    With x and y shingles from a shared one on, in the common order from rare to common, two sets share at most
+    min(x, y) if that is the first one that they share.
     """
+    fit = both.filter(f"""root_a <> root_b AND 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)
+      AND {100 + percent} * least(size_a - place_a, size_b - place_b) >= {percent} * (size_a + size_b)""")
+    return fit.select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for centre, node, x, y in zip(*(batch.column(c).to_pylist() for c in ("centre", "node", "a", "b"))):
-                own = np.setdiff1d(unpacked(y), unpacked(x), assume_unique=True)
-                region = mix(own ^ mix(np.full(len(own), centre & 0xFFFFFFFFFFFFFFFF, np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.full(len(own), node, np.int64)), pa.array([b""] * len(own), pa.binary())], names=["region", "node", "label"])
 
-    both = star.join(sets.toDF("centre", "a"), "centre").join(sets.toDF("node", "b"), "node").select("centre", "node", "a", "b")
-    return neighbours(both.mapInArrow(added, "region long, node long, label binary")).filter("lo < hi")
+def exact_rest(links: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of large regions that the given ones do not connect yet: a prefix-filter join.
+
+    Whatever is connected needs no further link, so a shingle whose nodes are all connected gives no pair. While a
+    shingle stands in more than SMALL groups, its nodes first meet a centre of its own: the one with the fewest rarer
+    shingles, then the same among those outside its main group. In the end all nodes of different groups meet.
+    """
+    own = stored(sets.join(dense, "node"))
+    tally = tallied(own)
+    side = lambda rows, x: rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place")])
+    more = []
+    rows = apart(links, own, tally, percent)
+    for outside in ("true", "root <> major"):
+        large = rows.filter(f"n > {SMALL}")
+        if large.isEmpty():
+            break
+        centre = large.filter(outside).groupBy("token").agg(F.min(F.struct("place", "node", "root", "size")).alias("c")).select("token", "c.*")
+        more.append(stored(confirmed(fitting(side(centre, "a").join(side(large, "b"), "token"), percent), sets, percent)))
+        links = links.unionByName(more[-1])
+        rows = apart(links, own, tally, percent)
+    ahead, main = rows.filter("ahead"), F.col("root") == F.col("major")
+    both = side(ahead.filter(~main), "a").join(side(rows, "b"), "token").unionByName(side(ahead.filter(main), "a").join(side(rows.filter(~main), "b"), "token"))
+    last = confirmed(fitting(both.filter("size_a < size_b OR size_a = size_b AND node_a < node_b"), percent), sets, percent)
+    return reduce(DataFrame.unionByName, [*more, last])
 
 
 def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -350,8 +355,7 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     ends = candidates.select(F.col("lo").alias("node")).union(candidates.select("hi")).union(star.select("node")).union(star.select("centre")).union(dense)
     with_node = texts.select(F.col("key").alias("node"), "text").filter(F.col("node").isNotNull())
     sets = stored(packed_sets(ends.distinct(), with_node, shingle))
-    others = estimated(shared_edits(star, sets).join(candidates, ["lo", "hi"], "left_anti"), nodes)
-    links = stored(confirmed(candidates, sets, percent).unionByName(confirmed(others, sets, percent)))
+    links = stored(confirmed(candidates, sets, percent))
     groups = connected(links.unionByName(exact_rest(links, dense, sets, percent)))
     of_node = nodes.select("d1", "d2", "node").join(groups, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     rows = signed.drop("mins").join(of_node, ["d1", "d2"], "left")

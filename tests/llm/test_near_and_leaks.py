@@ -57,14 +57,17 @@ def test_deep_regions(spark, monkeypatch):
 
 
 def test_no_link_rests_on_sorted_neighbours(spark, monkeypatch):
-    """Excerpts and edits of one text and variants of one form, none of which meets another in a large region."""
+    """Excerpts and edits of one text and variants of one form, which meet no other in a large region."""
     monkeypatch.setattr(near_dedup, "REACH", 0)
     r = random.Random(11)
     base = [f"w{k}" for k in range(200)]
-    rows = [base[a : 200 - r.randrange(40)] for a in range(0, 40)]
-    for _ in range(40):
-        form = base[:150] + [f"p{r.randrange(10**6)}" for _ in range(40)]
-        rows += [edited(form, r.randint(0, 4), r) for _ in range(2)]
+    rows = [edited(base, r.randint(0, 1), r) for _ in range(30)] + [base[a : a + 140] for a in range(0, 60, 3)]
+    # Sub-groups of one form: 20 variants each, whose added paragraphs are the same.
+    for group in range(2):
+        form = base[:140] + [f"p{group}x{k}" for k in range(60)]
+        for _ in range(20):
+            own = [f"v{r.randrange(10**6)}" for _ in range(22)]
+            rows += [form + own, edited(form + own, 1, r)]
     texts = [" ".join(w) for w in rows]
     r.shuffle(texts)
     rows = list(enumerate(texts))
