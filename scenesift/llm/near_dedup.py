@@ -75,6 +75,10 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def digest_of(s: np.ndarray) -> tuple[int, int]:
+    return (int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s ^ np.uint64(77))))) if len(s) else (0, 0)
+
+
 def sign(samples: DataFrame, size: int) -> DataFrame:
     """(key, n_shingles, d1, d2, mins): set size, digest of the whole set and signature of every text."""
 
@@ -84,7 +88,7 @@ def sign(samples: DataFrame, size: int) -> DataFrame:
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b], size)
                 mins = signatures(sets, TREES * DEPTH)
-                digest = [(int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s ^ np.uint64(77))))) if len(s) else (0, 0) for s in sets]
+                digest = [digest_of(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     keys.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                     *[pa.array(np.array([d[k] for d in digest], np.uint64).view(np.int64)) for k in (0, 1)],
@@ -208,6 +212,20 @@ def packed_sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return texts.join(F.broadcast(wanted) if few else wanted, "node").mapInArrow(sets, "node long, shingles binary")
 
 
+def named_by_set(texts: DataFrame, size: int) -> DataFrame:
+    """(node, text): one text without an id for each different set, with the negative node that the set may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for a, b in chunks(content):
+                nodes = [-(digest_of(s)[0] >> 1) - 1 if len(s) else None for s in shingle_sets(content[a:b], size)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text").slice(a, b - a)], names=["node", "text"])
+
+    rows = texts.filter("key IS NULL").select("text").mapInArrow(run, T.StructType([T.StructField("node", T.LongType()), texts.schema["text"]]))
+    return rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def unpacked(packed: bytes) -> np.ndarray:
     wide = np.zeros((len(packed) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
@@ -342,7 +360,7 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     full = signed.filter("n_shingles > 0")
     # A set that only rows without an id have gets a negative node of its own.
     unnamed = -F.shiftrightunsigned("d1", 1) - 1
-    nodes = full.groupBy("d1", "d2").agg(F.coalesce(F.min("key"), F.first(unnamed)).alias("node"), F.first("mins").alias("mins"))
+    nodes = full.groupBy("d1", "d2").agg(F.coalesce(F.min("key"), F.first(unnamed)).alias("node"), F.min("key").isNull().alias("unnamed"), F.first("mins").alias("mins"))
     every_fourth = F.udf(lambda m: np.frombuffer(m, np.uint8)[::4].tobytes(), T.BinaryType())
     nodes = stored(nodes.withColumn("sketch", every_fourth("mins")))
     near = stored(neighbours(forest(nodes)))
@@ -353,12 +371,15 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     more = within.unionByName(star.select(F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")))
     candidates = stored(close.unionByName(estimated(more.join(close, ["lo", "hi"], "left_anti"), nodes)).distinct())
     ends = candidates.select(F.col("lo").alias("node")).union(candidates.select("hi")).union(star.select("node")).union(star.select("centre")).union(dense)
-    with_node = texts.select(F.col("key").alias("node"), "text").filter(F.col("node").isNotNull())
+    with_node = texts.select(F.col("key").alias("node"), "text").filter(F.col("node").isNotNull()).unionByName(named_by_set(texts, shingle))
     sets = stored(packed_sets(ends.distinct(), with_node, shingle))
     links = stored(confirmed(candidates, sets, percent))
     groups = connected(links.unionByName(exact_rest(links, dense, sets, percent)))
-    of_node = nodes.select("d1", "d2", "node").join(groups, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
+    held = nodes.select("d1", "d2", "node", "unnamed").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Where the smallest node is none of the given ids, the group has its smallest given id, or none.
+    led = held.join(nodes.filter("unnamed").select(F.col("node").alias("root")), "root")
+    least = led.groupBy("root").agg(F.min(F.when(~F.col("unnamed"), F.col("node"))).alias("least"), F.lit(True).alias("led"))
+    of_node = held.join(least, "root", "left").select("d1", "d2", F.when(F.col("led"), F.col("least")).otherwise(F.col("root")).alias("root"))
     rows = signed.drop("mins").join(of_node, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.when(F.col("root") >= 0, F.col("root")).otherwise(F.when(F.col("key").isNotNull(), F.col("root"))))
-    rows = rows.withColumn("component_id", component)
+    rows = rows.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(F.col("root")))
     return rows.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

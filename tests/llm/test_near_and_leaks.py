@@ -82,6 +82,16 @@ def test_null_ids_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "sample_id long, text string")).count() == 0
 
 
+def test_null_ids_take_part_in_links(spark):
+    words = [f"w{k}" for k in range(120)]
+    far = words[:100] + ["y"] * 8
+    rows = [(7, words[10:]), (None, words), (None, words), (3, words[:98]), (None, far), (None, far[:-1])]
+    out = near_duplicates(spark.createDataFrame([(k, " ".join(w)) for k, w in rows] + [(None, "p q r s t u v w x y z"), (None, "p q r s t u v w x y z a")], "sample_id long, text string")).collect()
+    plain = brute.near_components([(n, " ".join(w)) for n, (_, w) in enumerate(rows)])
+    assert len({c for _, c in plain.values()}) == 1
+    assert sorted((x.sample_id or 0, x.component_id or 0, x.kept) for x in out) == [(0, 0, True)] * 2 + [(0, 3, False)] * 4 + [(3, 3, True), (7, 3, False)]
+
+
 def test_leaks(spark):
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(400)]
