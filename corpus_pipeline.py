@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows, key="_row").select(F.col("_row").alias("_member"), "component_id")
+    groups = near_duplicates(rows, key="_row", shingle=5).select(F.col("_row").alias("_member"), "component_id")
     named = groups.join(rows.select("doc_id", "_row"), F.col("_member") == F.col("_row")).drop("_member")
     stay = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row")).select("_row")
     return rows.join(stay, "_row", "left_semi").select(*docs.columns)

@@ -76,3 +76,13 @@ def test_mixing_and_run(spark, stages):
     total = sum(len(brute.words(r.text)) for r in docs.values())
     assert abs(sum(r.taken for r in mixed) - 1.5 * total) < 0.15 * total
     assert corpus_pipeline.run(spark, SF).filter(F.col("taken") > 0).count() > 0
+
+
+def test_near_dedup_takes_five_words(spark):
+    words = [f"w{n}" for n in range(200)]
+    few, five = [w if n not in (50, 150) else "other" for n, w in enumerate(words)], [w if n not in (20, 60, 100, 140, 180) else "new" for n, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(few), 3: " ".join(five)}
+    alike = lambda a, b, n: 100 * len(a & b) >= 80 * len(a | b) if (a := brute.shingles(a, n)) and (b := brute.shingles(b, n)) else False
+    assert alike(texts[1], texts[3], 4) and not alike(texts[1], texts[3], 5) and not alike(texts[2], texts[3], 5) and alike(texts[1], texts[2], 5)
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(rows(corpus_pipeline.keep_one_of_each_group(spark, docs, SF))) == {1, 3}
