@@ -56,7 +56,7 @@ def mat_cols(df, column):
 
 def small_cuts(s):
     """Cut the per-frame and per-object tables that several branches of a query read."""
-    s.objects, s.grid = cut_lineage(s.objects), cut_lineage(s.grid)
+    s.objects = cut_lineage(s.objects)
     s.own = cut_lineage(s.own)
     s.base = cut_lineage(s.base)
     return s
@@ -196,9 +196,9 @@ scene_query("mark_objects", query("free occ", out("scene_id frame_id i:i j:i k:i
 scene_query("remove_target", query("others", out("scene_id frame_id obj_id i:i j:i k:i", "others")))(
     lambda s: occ.explode_bits(s.others, "occ", "w", "k")
 )
-scene_query("zbuffer", query("zb", out("scene_id frame_id obj_id u:i v:i z:d", "zb")))(lambda s: small_cuts(s).zbuf)
+scene_query("zbuffer", query("zb", out("scene_id frame_id obj_id u:i v:i z:d", "zb")))(lambda s: occ.zbuffer(small_cuts(s).layers, s.objects))
 scene_query("object_visible", query("visible", out("scene_id frame_id obj_id in_image visible", "visible")))(
-    lambda s: occ.object_visible(s.objects, s.camera, small_cuts(s).zbuf, CONFIG.voxel_size)
+    lambda s: occ.object_visible(s.objects, s.camera, small_cuts(s).layers, CONFIG.voxel_size)
 )
 
 # ---- morphology and components -----------------------------------------------------
@@ -310,7 +310,7 @@ class Search:
     def kept(self):
         views = self.views()
         seen = cut_lineage(self.in_view(views))
-        return plc.filter_occluded(seen, views, self.s.zbuf, CONFIG.occlusion_threshold)
+        return plc.filter_occluded(seen, views, self.s.layers, CONFIG.occlusion_threshold)
 
 
 CAND_OUT = "scene_id frame_id obj_id yaw_idx:i gx:i gy:i"

@@ -55,7 +55,8 @@ class Scene:
 
     @cached_property
     def grid(self):
-        return occ.grid_bounds(self.points, self.camera, self.cfg.voxel_size, self.cfg.grid_padding)
+        """One row for each frame, read by every later step."""
+        return cut_lineage(occ.grid_bounds(self.points, self.camera, self.cfg.voxel_size, self.cfg.grid_padding))
 
     @cached_property
     def columns(self):
@@ -74,8 +75,8 @@ class Scene:
         return occ.remove_target(self.base, self.objects, self.own)
 
     @cached_property
-    def zbuf(self):
-        return occ.zbuffer(self.base, self.grid, self.camera, self.objects, self.own)
+    def layers(self):
+        return occ.depth_layers(self.base, self.grid, self.camera, self.own)
 
     @cached_property
     def poses(self):

@@ -7,10 +7,10 @@ Rows are keyed down to the column, so one large frame spreads over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenesift.functions.bits import bit_in_word, explode_bits, word_of
+from scenesift.functions.bits import bit_in_word, explode_bits, long_lit, range_bits, word_of
 from scenesift.functions.geometry import (
     apply_matrix,
     at,
@@ -25,6 +25,7 @@ from scenesift.functions.geometry import (
     world_aabb,
 )
 from scenesift.operators.points import FK, depth_to_points
+from scenesift.operators.rays import ray_intervals
 
 # Voxel states and their export colours.
 FREE, OCCUPIED, UNKNOWN = 0, 1, 2
@@ -71,36 +72,34 @@ def voxel_to_world(voxels: DataFrame, grid: DataFrame) -> DataFrame:
     return voxels.join(grid, FK).select(*voxels.columns, *centres)
 
 
-def _ray_steps(points: DataFrame, camera: DataFrame, grid: DataFrame) -> DataFrame:
-    """All half-voxel steps of every ray, and the surface point itself as a last step."""
-    eye = camera.select(*FK, *[cell(F.col("pose"), r, 3).alias("e" + a) for r, a in enumerate("xyz")])
-    rays = points.select(*FK, "x", "y", "z").join(grid.join(eye, FK), FK)
-    delta = [F.col(a) - F.col("e" + a) for a in "xyz"]
-    rays = rays.withColumn("ray_len", F.sqrt(delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2]))
-    rays = rays.withColumns({"d" + a: F.try_divide(F.col(a) - F.col("e" + a), F.col("ray_len")) for a in "xyz"})
-    half = F.col("voxel_size") * 0.5
-    last = F.ceil(F.col("ray_len") / half).cast("int")
-    steps = rays.withColumn("s", F.explode(F.sequence(F.lit(-1), last)))
-    t = F.col("s") * half
-    hit = F.col("s") == -1
-    steps = steps.filter(hit | (t < F.col("ray_len")))
-    at = {a: F.when(hit, F.col(a)).otherwise(F.col("e" + a) + F.col("d" + a) * t) for a in "xyz"}
-    index = [voxel_index(at[a], F.col("o" + a), F.col("voxel_size")).alias(n) for a, n in zip("xyz", "ijk")]
-    return steps.select(*FK, hit.alias("hit"), *index, "gx", "gy", "gz").filter(_in_grid())
-
-
-def _pack(voxels: DataFrame, key: list[str], **columns) -> DataFrame:
-    """Pack voxel rows into column words; each keyword is a name and its row condition."""
-    mark = bit_in_word(F.col("k"))
-    return voxels.groupBy(*key, "i", "j", word_of(F.col("k")).alias("w")).agg(
-        *[F.bit_or(F.when(cond, mark).otherwise(F.lit(0).cast("long"))).alias(name) for name, cond in columns.items()]
-    )
+def _pack(voxels: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Pack voxel rows into column words."""
+    return voxels.groupBy(*key, "i", "j", word_of(F.col("k")).alias("w")).agg(F.bit_or(bit_in_word(F.col("k"))).alias(name))
+
+
+def _interval_words(intervals: DataFrame) -> DataFrame:
+    """Layer intervals to unmerged words (frame, i, j, w, bits); no bit is set outside the grid."""
+    low, high = F.least("z0", "z1"), F.greatest("z0", "z1")
+    words = intervals.withColumn("w", F.explode(F.sequence(word_of(F.greatest(low, F.lit(0))), word_of(F.greatest(high, F.lit(0))))))
+    bits = range_bits(F.col("w"), F.greatest(low, F.lit(0)), F.least(high, F.col("gz") - 1))
+    inside = (F.col("i") >= 0) & (F.col("i") < F.col("gx")) & (F.col("j") >= 0) & (F.col("j") < F.col("gy"))
+    return words.select(*FK, "i", "j", "w", F.when(inside, bits).otherwise(long_lit(0)).alias("bits"))
+
+
+def _surface_indices(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """In-grid voxel of every point."""
+    located = points.select(*FK, "x", "y", "z").join(grid, FK)
+    index = [voxel_index(F.col(a), F.col("o" + a), F.col("voxel_size")).alias(n) for a, n in zip("xyz", "ijk")]
+    return located.select(*FK, *index, "gx", "gy", "gz").filter(_in_grid()).select(*FK, "i", "j", "k")
 
 
 def occupancy_columns(points: DataFrame, camera: DataFrame, grid: DataFrame) -> DataFrame:
     """Packed grid: rays and hits in one aggregation, OCCUPIED overrides FREE."""
-    steps = _ray_steps(points, camera, grid)
-    packed = _pack(steps, FK, free=~F.col("hit"), occ=F.col("hit"))
+    none = long_lit(0)
+    free = _interval_words(ray_intervals(points, camera, grid)).select(*FK, "i", "j", "w", F.col("bits").alias("free"), none.alias("occ"))
+    hits = _surface_indices(points, grid).select(*FK, "i", "j", word_of(F.col("k")).alias("w"), none.alias("free"), bit_in_word(F.col("k")).alias("occ"))
+    packed = free.unionByName(hits).groupBy(*FK, "i", "j", "w").agg(F.bit_or("free").alias("free"), F.bit_or("occ").alias("occ"))
+    packed = packed.filter((F.col("free") != 0) | (F.col("occ") != 0))
     return packed.withColumn("free", F.col("free").bitwiseAND(F.bitwise_not("occ")))
 
 
@@ -122,14 +121,13 @@ def occupied_voxels(columns: DataFrame) -> DataFrame:
 
 def raycast_free(points: DataFrame, camera: DataFrame, grid: DataFrame) -> DataFrame:
     """Voxels passed by a ray, hits not yet removed."""
-    steps = _ray_steps(points, camera, grid).filter(~F.col("hit"))
-    return explode_bits(_pack(steps, FK, free=F.lit(True)), "free", "w", "k")
+    words = _interval_words(ray_intervals(points, camera, grid)).groupBy(*FK, "i", "j", "w").agg(F.bit_or("bits").alias("free"))
+    return explode_bits(words, "free", "w", "k")
 
 
 def surface_voxels(points: DataFrame, grid: DataFrame) -> DataFrame:
     """Voxels that hold a depth measurement."""
-    cells = world_to_voxel(points.select(*FK, "x", "y", "z"), grid).join(grid.select(*FK, "gx", "gy", "gz"), FK)
-    return cells.filter(_in_grid()).select(*FK, "i", "j", "k").distinct()
+    return _surface_indices(points, grid).distinct()
 
 
 def voxelize_boxes(boxes: DataFrame, grid: DataFrame, key: list[str]) -> DataFrame:
@@ -180,7 +178,7 @@ def mark_objects(columns: DataFrame, object_voxels: DataFrame) -> DataFrame:
 
 def remove_target(columns: DataFrame, objects: DataFrame, object_voxels: DataFrame) -> DataFrame:
     """Packed OCCUPIED columns per (frame, object) without the object's own voxels."""
-    own = _pack(object_voxels, OBJ, own=F.lit(True))
+    own = _pack(object_voxels, OBJ, "own")
     base = columns.filter(F.col("occ") != 0).select(*FK, "i", "j", "w", "occ")
     per_object = base.join(objects.select(*OBJ), FK)
     joined = per_object.join(own, OBJ + ["i", "j", "w"], "left")
@@ -223,23 +221,47 @@ def project_occupied(columns: DataFrame, grid: DataFrame, camera: DataFrame) ->
     )
 
 
-def zbuffer(columns: DataFrame, grid: DataFrame, camera: DataFrame, objects: DataFrame, object_voxels: DataFrame) -> DataFrame:
-    """Nearest camera depth per (object, pixel) over the OCCUPIED voxels that are not the object's own.
+def depth_layers(columns: DataFrame, grid: DataFrame, camera: DataFrame, object_voxels: DataFrame) -> DataFrame:
+    """One buffer for a frame and all its objects: (frame, u, v, layers), layers an array of (z, owners).
 
-    Voxels are projected once per frame. A pixel the object does not touch takes the
-    frame's minimum; only touched pixels are searched again. A missing row is infinite.
+    Each layer is the nearest depth of one owner set, the objects whose own voxels it comes from; nearer layers come
+    first. The list ends where no object owns all layers so far, as every object then finds one that is not its own:
+    mostly after one layer (scene geometry in front) or two (an object, then what is behind it).
     """
     seen = project_occupied(columns, grid, camera)
-    frame_min = seen.groupBy(*FK, "u", "v").agg(F.min("z").alias("z"))
-    own = object_voxels.select(*OBJ, "i", "j", "k")
-    touched = seen.join(own, FK + ["i", "j", "k"]).select(*OBJ, "u", "v").distinct()
-    free_pixels = frame_min.join(objects.select(*OBJ), FK).join(touched, OBJ + ["u", "v"], "left_anti")
-    again = seen.join(touched, FK + ["u", "v"]).join(own, OBJ + ["i", "j", "k"], "left_anti")
-    return free_pixels.select(*OBJ, "u", "v", "z").unionByName(again.groupBy(*OBJ, "u", "v").agg(F.min("z").alias("z")))
+    owners = object_voxels.groupBy(*FK, "i", "j", "k").agg(F.sort_array(F.collect_set("obj_id")).alias("owners"))
+    owned = seen.join(owners, FK + ["i", "j", "k"], "left").withColumn("owners", F.coalesce("owners", F.array().cast("array<string>")))
+    nearest = owned.groupBy(*FK, "u", "v", "owners").agg(F.min("z").alias("z"))
+    stacked = nearest.groupBy(*FK, "u", "v").agg(F.sort_array(F.collect_list(F.struct("z", "owners"))).alias("all"))
+
+    def keep(held, layer):
+        left = F.when(F.size(held["layers"]) == 0, layer["owners"]).otherwise(F.array_intersect(held["left"], layer["owners"]))
+        done = (F.size(held["layers"]) > 0) & (F.size(held["left"]) == 0)
+        return F.when(done, held).otherwise(F.struct(F.concat(held["layers"], F.array(layer)).alias("layers"), left.alias("left")))
+
+    kind = nearest.schema["owners"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<struct<z:double,owners:{kind}>>").alias("layers"), F.array().cast(kind).alias("left"))
+    return stacked.select(*FK, "u", "v", F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", start, keep)["layers"]).alias("layers"))
+
+
+def depth_of_others(layers: Column, obj_id: Column) -> Column:
+    """Nearest depth in ``layers`` that is not the object's own, or null (infinite)."""
+    first = F.get(layers, F.lit(0))
+    mine = F.array_contains(first["owners"], obj_id)
+    return F.when(~mine, first["z"]).otherwise(F.get(F.filter(layers, lambda d: ~F.array_contains(d["owners"], obj_id)), F.lit(0))["z"])
+
+
+def zbuffer(layers: DataFrame, objects: DataFrame) -> DataFrame:
+    """The buffer as each object sees it: (object, u, v, z) without the object's own voxels; a missing row is infinite.
+
+    A report: it has a row for each object and pixel. The tests of the plan look ``depth_layers`` up instead.
+    """
+    seen = layers.join(objects.select(*OBJ), FK)
+    return seen.select(*OBJ, "u", "v", depth_of_others(F.col("layers"), F.col("obj_id")).alias("z")).filter(F.col("z").isNotNull())
 
 
-def object_visible(objects: DataFrame, camera: DataFrame, zbuf: DataFrame, margin: float) -> DataFrame:
-    """Per object: whole box inside the image and no corner behind other geometry."""
+def object_visible(objects: DataFrame, camera: DataFrame, layers: DataFrame, margin: float) -> DataFrame:
+    """Per object: whole box inside the image and no corner behind other geometry (``depth_layers``)."""
     cam = camera.select(*FK, "fx", "fy", "cx", "cy", "img_w", "img_h", rigid_inverse(F.col("pose")).alias("w2c"))
     posed = objects.select(*OBJ, "aabb", F.col("pose").alias("obj_pose")).join(cam, FK)
     posed = posed.withColumn("pose_cam", matrix_product(F.col("w2c"), F.col("obj_pose")))
@@ -254,8 +276,8 @@ def object_visible(objects: DataFrame, camera: DataFrame, zbuf: DataFrame, margi
     looked = corners.select(
         *OBJ, inside.alias("inside"), z.alias("corner_z"),
         pixel_index(u, F.col("img_w")).alias("u"), pixel_index(v, F.col("img_h")).alias("v"),
-    ).join(zbuf, OBJ + ["u", "v"], "left")
-    hidden = F.coalesce(F.col("corner_z") > F.col("z") + margin, F.lit(False))
+    ).join(layers, FK + ["u", "v"], "left")
+    hidden = F.coalesce(F.col("corner_z") > depth_of_others(F.col("layers"), F.col("obj_id")) + margin, F.lit(False))
     return looked.groupBy(*OBJ).agg(
         F.bool_and("inside").alias("in_image"), (~F.bool_or(F.col("inside") & hidden)).alias("unoccluded")
     ).select(*OBJ, "in_image", (F.col("in_image") & F.col("unoccluded")).alias("visible"))

@@ -41,7 +41,7 @@ from scenesift.functions.geometry import (
     world_aabb,
 )
 from scenesift.operators.morphology import dilate_xy, erode_2d, obstacle_columns
-from scenesift.operators.occupancy import OBJ, voxelize_boxes
+from scenesift.operators.occupancy import OBJ, depth_of_others, voxelize_boxes
 from scenesift.operators.points import FK
 from scenesift.session import spread
 
@@ -350,8 +350,8 @@ def filter_visible(candidates: DataFrame, views: DataFrame) -> DataFrame:
     return candidates.join(failed, CANDIDATE, "left_anti")
 
 
-def filter_occluded(candidates: DataFrame, views: DataFrame, zbuf: DataFrame, threshold: float) -> DataFrame:
-    """Drop candidates with too large a share of corners behind scene geometry.
+def filter_occluded(candidates: DataFrame, views: DataFrame, layers: DataFrame, threshold: float) -> DataFrame:
+    """Drop candidates with too large a share of corners behind scene geometry (``depth_layers``).
 
     Corners look up their pixel; only the hidden ones go on, so the final anti join
     compares candidates with the few that fail.
@@ -361,7 +361,7 @@ def filter_occluded(candidates: DataFrame, views: DataFrame, zbuf: DataFrame, th
         *CANDIDATE, "voxel_size", "cz",
         pixel_index(F.col("pu"), F.col("img_w")).alias("u"), pixel_index(F.col("pv"), F.col("img_h")).alias("v"),
     )
-    hidden = looked.join(zbuf, OBJ + ["u", "v"]).filter(F.col("cz") > F.col("z") + F.col("voxel_size"))
+    hidden = looked.join(layers, FK + ["u", "v"]).filter(F.col("cz") > depth_of_others(F.col("layers"), F.col("obj_id")) + F.col("voxel_size"))
     failed = hidden.groupBy(*CANDIDATE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") / 8.0 > threshold)
     return candidates.join(failed.select(*CANDIDATE), CANDIDATE, "left_anti")
 

@@ -22,12 +22,12 @@ from scenesift.operators.cluster import (
 from scenesift.operators.morphology import dilate_xy, obstacle_columns
 from scenesift.operators.occupancy import (
     OBJ,
+    depth_layers,
     grid_bounds,
     mark_objects,
     object_visible,
     occupancy_columns,
     voxelize_obb,
-    zbuffer,
 )
 from scenesift.operators.placement import (
     CANDIDATE,
@@ -102,8 +102,8 @@ def plan_placements(depth_px: DataFrame, camera: DataFrame, objects: DataFrame,
     base = cut_lineage(mark_objects(seen, own))
 
     with_voxels = objects.join(own.select(*OBJ).distinct(), OBJ, "left_semi")
-    zbuf = cut_lineage(zbuffer(base, grid, camera, with_voxels, own))
-    visible = cut_lineage(object_visible(with_voxels, camera, zbuf, cfg.voxel_size))
+    layers = cut_lineage(depth_layers(base, grid, camera, own))
+    visible = cut_lineage(object_visible(with_voxels, camera, layers, cfg.voxel_size))
     active = cut_lineage(with_voxels.join(visible.filter("visible").select(*OBJ), OBJ, "left_semi"))
     active_own = own.join(active.select(*OBJ), OBJ, "left_semi")
 
@@ -135,7 +135,7 @@ def plan_placements(depth_px: DataFrame, camera: DataFrame, objects: DataFrame,
         stable_count = _stage_count(stable, "num_after_stability")
         in_image = filter_visible(stable, views)
     in_image = cut_lineage(in_image.select(*CANDIDATE))
-    kept = cut_lineage(filter_occluded(in_image, views, zbuf, cfg.occlusion_threshold))
+    kept = cut_lineage(filter_occluded(in_image, views, layers, cfg.occlusion_threshold))
 
     if cfg.dbscan_eps is None:
         radius = adaptive_eps(active, shapes, grid)
