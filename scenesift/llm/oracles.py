@@ -94,16 +94,16 @@ b AS (
 ), win AS (SELECT rid, i, array_to_string(w[i : i + 2], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS k FROM win) WHERE k > 1) GROUP BY rid),
 classes AS (SELECT lang, [{', '.join(f'sum(c[{k + 1}])' for k in range(len(_COUNTS) + 1))}] AS rc FROM b GROUP BY lang),
-tally AS (SELECT lang, lower(x) AS x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM b) WHERE length(lower(x)) BETWEEN 1 AND {q.SHORT} GROUP BY ALL),
+tally AS (SELECT lang, lower(x) AS x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM b) GROUP BY ALL),
 common AS (
-  SELECT lang, list(x ORDER BY nth) AS rw, list(CAST(n AS DOUBLE) ORDER BY nth) AS rn
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS nth FROM tally) WHERE nth <= {q.COMMON_WORDS} GROUP BY lang
+  SELECT lang, list(x ORDER BY nth) AS rw, list_append(list(CAST(n AS DOUBLE) ORDER BY nth), CAST(any_value(every_n) - sum(n) AS DOUBLE)) AS rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS nth, sum(n) OVER (PARTITION BY lang) AS every_n FROM tally) WHERE nth <= {q.COMMON_WORDS} GROUP BY lang
 ), j AS (
-  SELECT b.*, rc, rn, coalesce(rep.n, 0) AS n_rep, list_transform(rw, lambda r: CAST(len(list_filter(w, lambda x: lower(x) = r)) AS DOUBLE)) AS m
+  SELECT b.*, rc, rn, coalesce(rep.n, 0) AS n_rep, list_transform(rw, lambda r: CAST(len(list_filter(w, lambda x: lower(x) = r)) AS DOUBLE)) AS m0, list_append(m0, len(w) - list_sum(m0)) AS m
   FROM b LEFT JOIN rep USING (rid) JOIN classes k ON b.lang IS NOT DISTINCT FROM k.lang LEFT JOIN common o ON b.lang IS NOT DISTINCT FROM o.lang
 ), f AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_rep AS n_repeat_words,
-    len(w) < 50 OR 100 * n_rep > 50 * len(w) AS base_failed, {_js('c', 'rc')} AS class_distance, {_js('m', 'rn')} AS word_distance
+    len(w) < 50 OR 100 * n_rep > 50 * len(w) AS base_failed, {_js('c', 'rc')} AS class_distance, CASE WHEN len(w) > 0 AND list_sum(m0) = 0 THEN CAST(1 AS DOUBLE) ELSE {_js('m', 'rn')} END AS word_distance
   FROM j
 )
 SELECT *, NOT base_failed AND NOT coalesce((n_words >= {q.MIN_WORDS_CLASSES} AND class_distance > {q.MAX_CLASS_DISTANCE}) OR (n_words >= {q.MIN_WORDS_COMMON} AND word_distance > {q.MAX_COMMON_DISTANCE}), false) AS kept

@@ -11,12 +11,10 @@ from scenesift.llm.common import BLANK, stored, words_of
 
 #: Words per language whose shares are compared; a feature of the method, not a cut of the texts.
 COMMON_WORDS = 16
-#: Letters of a common word at most.
-SHORT = 4
 #: Shortest text, in words, that each histogram is judged on.
 MIN_WORDS_CLASSES, MIN_WORDS_COMMON = 50, 100
 #: Largest Jensen-Shannon distance of a kept text.
-MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.3, 0.75
+MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.3, 0.4
 #: Character classes, in the order of the histogram; what is left over is the last class.
 CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", BLANK, "[.,;:!?'\"()-]+", r"[^\x00-\x7F]+")
 
@@ -56,10 +54,9 @@ def js_distance(p: str, q: str) -> str:
 
 
 def text_features(samples: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(_key, lang, the exact statistics, classes, short): everything that a text itself decides, in one pass over it.
+    """(_key, lang, the exact statistics, classes, words): everything that a text itself decides, in one pass over it.
 
-    ``classes`` counts the characters of each class; ``short`` has the words of ``SHORT`` letters at most, lower-cased,
-    between double blanks.
+    ``classes`` counts the characters of each class; ``words`` has all words, lower-cased, between double blanks.
     """
     rows = samples.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
     rows = rows.withColumns({
@@ -68,9 +65,9 @@ def text_features(samples: DataFrame, key: str, text: str, lang: str) -> DataFra
         "classes": class_counts(F.col("text")),
     })
     rows = rows.withColumn("_windows", F.expr(WINDOWS))
-    low = F.filter(F.split(F.lower(F.array_join("_words", " ")), " "), lambda w: F.length(w).between(1, SHORT))
+    low = F.lower(F.array_join("_words", "  "))
     return rows.select(
-        "_key", "lang", "classes", F.concat(F.lit(" "), F.array_join(low, "  "), F.lit(" ")).alias("short"),
+        "_key", "lang", "classes", F.concat(F.lit(" "), low, F.lit(" ")).alias("words"),
         F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _rest(F.col("text"), r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.expr(REPEAT_WORDS).cast("long").alias("n_repeat_words"),
@@ -80,17 +77,20 @@ def text_features(samples: DataFrame, key: str, text: str, lang: str) -> DataFra
 def language_references(features: DataFrame, n_common: int = COMMON_WORDS) -> DataFrame:
     """(lang, ref_classes, ref_words, ref_counts): histograms of every language, summed over all its texts.
 
-    Common words are the most frequent of a language's short words: function words.
+    ``ref_words`` are the most frequent words of a language; ``ref_counts`` has their counts and, last, that of all
+    other words.
     """
     n = len(CLASSES) + 1
-    classes = features.groupBy("lang").agg(F.array(*[F.sum(F.col("classes")[k]) for k in range(n)]).alias("ref_classes"))
-    words = features.select("lang", F.explode(F.split(F.trim("short"), "  ")).alias("word")).filter("word != ''")
+    classes = features.groupBy("lang").agg(F.array(*[F.sum(F.col("classes")[k]) for k in range(n)]).alias("ref_classes"), F.sum("n_words").alias("n"))
+    words = features.select("lang", F.explode(F.split(F.trim("words"), "  ")).alias("word")).filter("word != ''")
     tally = words.groupBy("lang", "word").count()
     first = Window.partitionBy("lang").orderBy(F.col("count").desc(), "word")
     top = tally.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n_common)
     common = top.groupBy(F.col("lang").alias("_l")).agg(F.sort_array(F.collect_list(F.struct("nth", "word", "count"))).alias("top"))
     joined = classes.join(common, F.col("lang").eqNullSafe(F.col("_l")), "left")
-    return joined.select("lang", "ref_classes", F.col("top.word").alias("ref_words"), F.transform("top.count", lambda c: c.cast("double")).alias("ref_counts"))
+    counts = F.transform("top.count", lambda c: c.cast("double"))
+    other = F.col("n") - F.aggregate(counts, F.lit(0.0), lambda s, c: s + c)
+    return joined.select("lang", "ref_classes", F.col("top.word").alias("ref_words"), F.concat(counts, F.array(other)).alias("ref_counts"))
 
 
 def judge_quality(samples: DataFrame, key: str = "sample_id", text: str = "text", lang: str = "lang", references: DataFrame | None = None) -> DataFrame:
@@ -99,22 +99,26 @@ def judge_quality(samples: DataFrame, key: str = "sample_id", text: str = "text"
     ``samples`` has a sample id, its text and the language of the text. Two rules fail a text at once: fewer than 50
     words, or more than half of its words in repeated 3-word windows. The others are compared with the histograms
     of their language (``language_references`` over all texts unless given): the Jensen-Shannon distance of the
-    character classes is judged from ``MIN_WORDS_CLASSES`` words on, that of the common words from
-    ``MIN_WORDS_COMMON``; a text is kept unless a judged distance exceeds its bound.
+    character classes is judged from ``MIN_WORDS_CLASSES`` words on, that of the words from ``MIN_WORDS_COMMON``; a text
+    is kept unless a judged distance exceeds its bound. The word histogram has the language's most frequent words, of
+    any length, and one bin for all others; a text without any of the frequent words has the full distance of 1.
 
     Returns (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance,
-    word_distance), one row for each input row. Null and empty texts have no words and fail. A text without any
-    common word has no word distance and is not judged by it. A null language is a language of its own. Ids may be
-    null or repeat; other columns are not read. Empty input gives no rows.
+    word_distance), one row for each input row. Null and empty texts have no words and no distances and fail. A null
+    language is a language of its own; a language that given references do not have is judged by neither distance.
+    Ids may be null or repeat; other columns are not read. Empty input gives no rows.
     """
     features = stored(text_features(samples, key, text, lang))
     refs = stored(language_references(features)) if references is None else references
     rows = features.join(refs.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
     rows = rows.withColumns({
-        "_common": F.expr("transform(ref_words, w -> (length(short) - length(replace(short, ' ' || w || ' ', ''))) / CAST(length(w) + 2 AS DOUBLE))"),
+        "_common": F.expr("transform(ref_words, w -> (length(words) - length(replace(words, ' ' || w || ' ', ''))) / CAST(length(w) + 2 AS DOUBLE))"),
         "class_distance": F.round(F.expr(js_distance("classes", "ref_classes")), 6),
     })
-    rows = rows.withColumn("word_distance", F.round(F.expr(js_distance("_common", "ref_counts")), 6))
+    rows = rows.withColumn("_met", F.aggregate("_common", F.lit(0.0), lambda s, c: s + c))
+    rows = rows.withColumn("_bins", F.concat("_common", F.array(F.col("n_words") - F.col("_met"))))
+    apart = F.when((F.col("n_words") > 0) & (F.col("_met") == 0), 1.0).otherwise(F.expr(js_distance("_bins", "ref_counts")))
+    rows = rows.withColumn("word_distance", F.round(apart, 6))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     odd = ((F.col("n_words") >= MIN_WORDS_CLASSES) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS_COMMON) & (F.col("word_distance") > MAX_COMMON_DISTANCE))

@@ -158,6 +158,21 @@ def test_quality(spark):
     assert judge_quality(spark.createDataFrame([], "sample_id long, text string, lang string")).count() == 0
 
 
+def test_texts_of_other_words_are_judged(spark):
+    r = random.Random(6)
+    english = ["the", "of", "and", "to", "in", "between", "because", "mug", "table", "box"]
+    german = ["der", "die", "und", "zwischen", "weil", "tasse", "tisch", "kasten", "rot", "neben"]
+    rare = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(6, 9)))
+    text = lambda words, n: " ".join(r.choice(words) if r.random() < 0.5 else rare() for _ in range(n))
+    rows = [(k, text(english, 200), "en") for k in range(80)] + [(100 + k, text(german, 200), "de") for k in range(80)]
+    rows += [(300, " ".join(rare() for _ in range(500)), "en"), (301, text(german, 500), "en"), (302, "the mug " + " ".join(rare() for _ in range(2000)), "en")]
+    rows += [(303, " ".join(rare() for _ in range(99)), "en"), (304, text(english, 300), None)]
+    out = {x.sample_id: x for x in judge_quality(spark.createDataFrame(rows, "sample_id long, text string, lang string")).collect()}
+    assert out[300].word_distance == 1.0 and 0.4 < out[301].word_distance and 0.4 < out[302].word_distance < 1
+    assert not any(out[k].kept for k in (300, 301, 302)) and out[303].kept and out[303].word_distance == 1.0
+    assert all(x.kept for k, x in out.items() if k < 200) and out[304].kept and out[304].word_distance < 0.2
+
+
 # ---- URLs ----
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
