@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenesift.llm.common import mix, stored, tokens, window_hashes
-from scenesift.llm.components import connected
+from scenesift.llm.components import connected, extended
 
 #: Words of a shingle, and the least similarity of linked texts in per cent.
 SHINGLE, PERCENT = 4, 80
@@ -172,7 +171,7 @@ def family_pairs(close: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     that agrees best with the commonest signature values of the family. Copies of one text with edits of their own
     agree with the common text at least as well as with each other.
     """
-    family = stored(connected(close))
+    family = connected(close)
     sizes = family.groupBy("root").agg(F.count("*").alias("n"))
     small = family.join(sizes.filter(F.col("n") <= SMALL).select("root"), "root")
     within = small.select("root", F.col("node").alias("lo")).join(small.select("root", F.col("node").alias("hi")), "root").filter("lo < hi").select("lo", "hi")
@@ -291,9 +290,9 @@ def prefixes(sets: DataFrame, tally: np.ndarray, percent: int) -> DataFrame:
     return sets.select("node", "root", "shingles").mapInArrow(run, "token long, node long, root long, size long, place long, ahead boolean")
 
 
-def apart(links: DataFrame, own: DataFrame, tally: np.ndarray, percent: int) -> DataFrame:
+def apart(groups: DataFrame, own: DataFrame, tally: np.ndarray, percent: int) -> DataFrame:
     """The ``prefixes`` whose shingle stands in ``n`` > 1 connected groups, with the group that most of its nodes have."""
-    rooted = own.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = own.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(prefixes(rooted, tally, percent))
     each = rows.groupBy("token", "root").count()
     major = each.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n"))
@@ -311,8 +310,8 @@ def fitting(both: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
 
 
-def exact_rest(links: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of large regions that the given ones do not connect yet: a prefix-filter join.
+def exact_rest(groups: DataFrame, dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``groups`` after all links between nodes of large regions that it does not connect yet: a prefix-filter join.
 
     Whatever is connected needs no further link, so a shingle whose nodes are all connected gives no pair. While a
     shingle stands in more than SMALL groups, its nodes first meet a centre of its own: the one with the fewest rarer
@@ -321,20 +320,20 @@ def exact_rest(links: DataFrame, dense: DataFrame, sets: DataFrame, percent: int
     own = stored(sets.join(dense, "node"))
     tally = tallied(own)
     side = lambda rows, x: rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place")])
-    more = []
-    rows = apart(links, own, tally, percent)
+    rows = apart(groups, own, tally, percent)
     for outside in ("true", "root <> major"):
         large = rows.filter(f"n > {SMALL}")
         if large.isEmpty():
             break
         centre = large.filter(outside).groupBy("token").agg(F.min(F.struct("place", "node", "root", "size")).alias("c")).select("token", "c.*")
-        more.append(stored(confirmed(fitting(side(centre, "a").join(side(large, "b"), "token"), percent), sets, percent)))
-        links = links.unionByName(more[-1])
-        rows = apart(links, own, tally, percent)
+        found = stored(confirmed(fitting(side(centre, "a").join(side(large, "b"), "token"), percent), sets, percent))
+        if found.isEmpty():
+            continue
+        groups = extended(groups, found)
+        rows = apart(groups, own, tally, percent)
     ahead, main = rows.filter("ahead"), F.col("root") == F.col("major")
     both = side(ahead.filter(~main), "a").join(side(rows, "b"), "token").unionByName(side(ahead.filter(main), "a").join(side(rows.filter(~main), "b"), "token"))
-    last = confirmed(fitting(both.filter("size_a < size_b OR size_a = size_b AND node_a < node_b"), percent), sets, percent)
-    return reduce(DataFrame.unionByName, [*more, last])
+    return extended(groups, confirmed(fitting(both.filter("size_a < size_b OR size_a = size_b AND node_a < node_b"), percent), sets, percent))
 
 
 def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -373,8 +372,7 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     ends = candidates.select(F.col("lo").alias("node")).union(candidates.select("hi")).union(star.select("node")).union(star.select("centre")).union(dense)
     with_node = texts.select(F.col("key").alias("node"), "text").filter(F.col("node").isNotNull()).unionByName(named_by_set(texts, shingle))
     sets = stored(packed_sets(ends.distinct(), with_node, shingle))
-    links = stored(confirmed(candidates, sets, percent))
-    groups = connected(links.unionByName(exact_rest(links, dense, sets, percent)))
+    groups = exact_rest(connected(confirmed(candidates, sets, percent)), dense, sets, percent)
     held = nodes.select("d1", "d2", "node", "unnamed").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Where the smallest node is none of the given ids, the group has its smallest given id, or none.
     led = held.join(nodes.filter("unnamed").select(F.col("node").alias("root")), "root")
