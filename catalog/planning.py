@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from catalog.oracle_cte import FKC, OB, PZ, apply, dilated, eroded, out, query, _K
@@ -117,7 +119,7 @@ scene_query("transform_points", query("obj corner", out("scene_id frame_id obj_i
 )
 scene_query("rotation_z", query("obj yaws", "SELECT " + OB + ", CAST(yaw_idx AS BIGINT) AS yaw_idx, " + ", ".join(
     f"round({e}, 6) + 0e0 AS m{n}" for n, e in enumerate(("cos(yaw)", "-sin(yaw)", "0e0", "0e0", "sin(yaw)", "cos(yaw)", "0e0", "0e0", "0e0", "0e0", "1e0", "0e0"))
-) + " FROM obj, yaws"))(lambda s: mat_cols(plc.yaw_grid(s.objects.select(*OBJ), 4).select(*POSE, geo.rotation_z(F.col("yaw")).alias("m")), "m"))
+) + " FROM obj, yaws"))(lambda s: mat_cols(plc.yaw_grid(s.objects.select(*OBJ), CONFIG.yaw_steps).select(*POSE, geo.rotation_z(F.col("yaw")).alias("m")), "m"))
 scene_query("euler_to_matrix", query("obj", out("scene_id frame_id obj_id " + " ".join(f"m{n}:d" for n in range(12)), f"(SELECT {OB}, {', '.join(f'p{n} AS m{n}' for n in range(12))} FROM obj)")))(
     lambda s: mat_cols(s.objects.select(*OBJ, F.col("pose").alias("m")), "m")
 )
@@ -162,7 +164,7 @@ scene_query("contact_face", query("obj corner cam", out("scene_id frame_id obj_i
   SELECT {OB}, CASE WHEN abs(p8) >= abs(p9) AND abs(p8) >= abs(p10) THEN 0 WHEN abs(p9) >= abs(p10) THEN 1 ELSE 2 END AS axis,
          CAST(sign(CASE WHEN abs(p8) >= abs(p9) AND abs(p8) >= abs(p10) THEN -p8 WHEN abs(p9) >= abs(p10) THEN -p9 ELSE -p10 END) AS INT) AS sg FROM obj) USING ({OB})
  JOIN (VALUES {_FACES}) f(axis, sg, pos, corner) USING (axis, sg, corner))""")))(lambda s: ovl.contact_faces(s.objects, s.camera, OBJ))
-scene_query("yaw_grid", query("obj yaws", out("scene_id frame_id obj_id yaw_idx:i yaw:d", "obj, yaws")))(lambda s: plc.yaw_grid(s.objects.select(*OBJ), 4))
+scene_query("yaw_grid", query("obj yaws", out("scene_id frame_id obj_id yaw_idx:i yaw:d", "obj, yaws")))(lambda s: plc.yaw_grid(s.objects.select(*OBJ), CONFIG.yaw_steps))
 scene_query("placed_transform", query("poses", out("scene_id frame_id obj_id yaw_idx:i " + " ".join(f"m{n}:d" for n in range(12)), f"(SELECT {PZ}, {', '.join(f'r{n} AS m{n}' for n in range(12))} FROM poses)")))(
     lambda s: mat_cols(s.poses.select(*POSE, F.col("pose").alias("m")), "m")
 )
@@ -293,7 +295,8 @@ class Search:
         self.cells = cut_lineage(srf.layer_surface(s.base, s.grid, s.objects, s.own))
         self.region = plc.search_region(self.cells, s.grid)
         self.eroded = plc.eroded_surface(self.cells, s.grid)
-        self.obstacles = mor.obstacle_columns(s.base, s.grid)
+        steps = math.ceil(s.cfg.safety_margin / s.cfg.voxel_size)
+        self.obstacles = mor.dilate_xy(mor.obstacle_columns(s.base, s.grid), s.grid, steps)
 
     def rows(self):
         s = self.s
@@ -317,13 +320,16 @@ CAND_OUT = "scene_id frame_id obj_id yaw_idx:i gx:i gy:i"
 scene_query("collision_search", query("cand", out(CAND_OUT, "cand")))(
     lambda s: plc.row_candidates(plc.search_rows((q := Search(s)).s.voxels, q.s.shapes, q.region, q.obstacles), "raw")
 )
-scene_query("collision_search_margin", query("cand_m", out(CAND_OUT, "cand_m")))(
-    lambda s: plc.collision_search((q := Search(s)).s.base, q.s.grid, q.s.voxels, q.s.shapes, q.region, 5.0, CONFIG.voxel_size).select(*CANDIDATE)
+scene_query("collision_search_margin", query("cand", out(CAND_OUT, "cand")))(
+    lambda s: plc.collision_search((q := Search(s)).s.base, q.s.grid, q.s.voxels, q.s.shapes, q.region, CONFIG.safety_margin, CONFIG.voxel_size).select(*CANDIDATE)
+)
+scene_query("collision_search_no_margin", query("cand_0", out(CAND_OUT, "cand_0")))(
+    lambda s: plc.collision_search((q := Search(s)).s.base, q.s.grid, q.s.voxels, q.s.shapes, q.region, 0.0, CONFIG.voxel_size).select(*CANDIDATE)
 )
 scene_query("search_meta", query("cand region", out("scene_id frame_id obj_id total_xy:i valid_raw:i yaw_steps:i valid_yaw_angles:i landing_z:i table_z:i", f"""(
- SELECT {OB}, grid_x * grid_y AS total_xy, count(yaw_idx) AS valid_raw, 4 AS yaw_steps, count(DISTINCT yaw_idx) AS valid_yaw_angles, region.landing_z, region.table_z
+ SELECT {OB}, grid_x * grid_y AS total_xy, count(yaw_idx) AS valid_raw, {CONFIG.yaw_steps} AS yaw_steps, count(DISTINCT yaw_idx) AS valid_yaw_angles, region.landing_z, region.table_z
  FROM region LEFT JOIN cand USING ({OB}) GROUP BY {OB}, grid_x, grid_y, region.landing_z, region.table_z)""")))(
-    lambda s: plc.search_meta(plc.row_candidates(plc.search_rows((q := Search(s)).s.voxels, q.s.shapes, q.region, q.obstacles), "raw"), q.region, 4)
+    lambda s: plc.search_meta(plc.row_candidates(plc.search_rows((q := Search(s)).s.voxels, q.s.shapes, q.region, q.obstacles), "raw"), q.region, CONFIG.yaw_steps)
 )
 scene_query("filter_stable", query("stable", out(CAND_OUT, "stable")))(lambda s: plc.row_candidates(Search(s).rows(), "stable"))
 scene_query("filter_stable_ratio", query("held com", out(CAND_OUT, f"(SELECT {PZ}, gx, gy FROM held SEMI JOIN com USING ({PZ}, gx, gy) WHERE held / n_foot >= 0.75)")))(

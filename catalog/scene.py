@@ -15,7 +15,7 @@ from scenesift.operators import placement as plc
 from scenesift.operators.points import FK, depth_to_points
 from scenesift.session import cut_lineage
 
-CONFIG = PlacementConfig(voxel_size=5.0, pixel_stride=1, grid_padding=10.0, safety_margin=0.0, yaw_steps=4)
+CONFIG = PlacementConfig(voxel_size=5.0, pixel_stride=1, grid_padding=10.0, safety_margin=2.0, yaw_steps=24)
 
 
 def posed_objects(boxes: DataFrame) -> DataFrame:
