@@ -15,12 +15,13 @@ COMMON_WORDS = 16
 MIN_WORDS_CLASSES, MIN_WORDS_COMMON = 50, 100
 #: Largest Jensen-Shannon distance of a kept text.
 MAX_CLASS_DISTANCE, MAX_COMMON_DISTANCE = 0.3, 0.4
-#: Character classes, in the order of the histogram; what is left over is the last class.
+#: Character classes, in the order of the histogram, the one that is not ASCII last; what is left over is one more class.
 CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", BLANK, "[.,;:!?'\"()-]+", r"[^\x00-\x7F]+")
 
 
-def _rest(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+def _ascii_count(text: Column, pattern: str) -> Column:
+    """Characters of an ASCII class: bytes are characters there, and their number is known without reading the text."""
+    return F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, ""))
 
 
 #: Hashes of all 3-word windows of ``_words``, in order.
@@ -41,7 +42,7 @@ REPEAT_WORDS = """
 
 def class_counts(text: Column) -> Column:
     """Characters of each class, as an array of doubles."""
-    counts = [_rest(text, c) for c in CLASSES]
+    counts = [_ascii_count(text, c) for c in CLASSES[:-1]] + [F.length(text) - F.length(F.regexp_replace(text, CLASSES[-1], ""))]
     other = F.length(text) - reduce(lambda a, b: a + b, counts)
     return F.array(*[c.cast("double") for c in (*counts, other)])
 
@@ -69,7 +70,7 @@ def text_features(samples: DataFrame, key: str, text: str, lang: str) -> DataFra
     return rows.select(
         "_key", "lang", "classes", F.concat(F.lit(" "), low, F.lit(" ")).alias("words"),
         F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        _rest(F.col("text"), r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
+        _ascii_count(F.col("text"), r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.expr(REPEAT_WORDS).cast("long").alias("n_repeat_words"),
     )
 
@@ -112,7 +113,7 @@ def judge_quality(samples: DataFrame, key: str = "sample_id", text: str = "text"
     refs = stored(language_references(features)) if references is None else references
     rows = features.join(refs.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
     rows = rows.withColumns({
-        "_common": F.expr("transform(ref_words, w -> (length(words) - length(replace(words, ' ' || w || ' ', ''))) / CAST(length(w) + 2 AS DOUBLE))"),
+        "_common": F.expr("transform(ref_words, w -> (octet_length(words) - octet_length(replace(words, ' ' || w || ' ', ''))) / CAST(octet_length(w) + 2 AS DOUBLE))"),
         "class_distance": F.round(F.expr(js_distance("classes", "ref_classes")), 6),
     })
     rows = rows.withColumn("_met", F.aggregate("_common", F.lit(0.0), lambda s, c: s + c))
