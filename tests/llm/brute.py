@@ -17,9 +17,9 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
 
 
-def near_components(docs, percent=80):
-    """{id: (set size, smallest id reachable)} by comparing all pairs."""
-    sets = {k: shingles(t) for k, t in docs}
+def near_components(docs, percent=80, n=4):
+    """{id: (set size, smallest id reachable)} by comparing all pairs of sets of ``n``-word shingles."""
+    sets = {k: shingles(t, n) for k, t in docs}
     root = {k: k for k in sets}
 
     def find(k):
