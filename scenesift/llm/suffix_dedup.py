@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,11 @@ PART_BYTES = 8 << 20
 #: Window starts that are hashed at a time, whatever the length of a text.
 SEGMENT = 1 << 17
 POSITION = np.uint64((1 << 24) - 1)
-FULL, SEND = 1, 2
+FULL, SEND, HOT = 1, 2, 4
+#: Different contexts of one anchor that are sorted in one task; strings under the contexts of others are dealt by hash.
+HOT_CONTEXTS = 2048
+#: Contexts whose strings are hashed at a time.
+CHUNK = 4096
 
 
 @lru_cache(maxsize=2)
@@ -57,7 +62,8 @@ class Bucket:
         found = [self._segment(at) for at in range(0, max(1, len(self.data) - length + 1), SEGMENT)]
         self.place, self.low, self.high, anchor, context = (np.concatenate(x) for x in zip(*found))
         self.context, first, self.which, counts = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
-        self.anchor, self.first, self.twice = anchor[first], first, counts > 1
+        # An anchor's gram has the smallest of many hashes, so it is mixed again to spread over the parts.
+        self.anchor, self.first, self.twice = mix(anchor[first]), first, counts > 1
         self.order = np.lexsort((self.context, self.anchor))
         self.cut = slices(self.anchor[self.order], parts)
 
@@ -106,8 +112,8 @@ class Bucket:
         return code
 
     def contexts(self, bucket: int, code: np.ndarray) -> pa.Table:
-        """The bytes of the contexts that the parts want to sort."""
-        wanted = self.order[code[self.order] & SEND > 0]
+        """The bytes of the contexts that the parts want to sort, and the string hashes under those of hot anchors."""
+        wanted = self.order[code[self.order] & (SEND | HOT) == SEND]
         rows = []
         for part, a, b in slices(self.anchor[wanted], self.parts):
             some = wanted[a:b]
@@ -115,13 +121,36 @@ class Bucket:
             blob = b"".join(self.data[x : y + self.length].tobytes() for x, y in zip(self.low[n], self.high[n]))
             offsets = np.stack([self.place[n] - self.high[n], self.place[n] - self.low[n]]).astype(np.uint16)
             rows.append((part, self.context[some].tobytes(), offsets[0].tobytes(), offsets[1].tobytes(), bits(code[some] & FULL > 0), blob))
+        _, string, _, twice, cut = self.strings(code)
+        rows += [(part, string[a:b].tobytes(), None, None, bits(twice[a:b]), None) for part, a, b in cut]
         columns = list(zip(*rows)) or [[]] * 6
         return pa.table({
             "part": pa.array(columns[0], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()),
             **{n: pa.array(c, pa.binary()) for n, c in zip(("contexts", "least", "most", "full", "bytes"), columns[1:])},
         })
 
-    def removed(self, code: np.ndarray, masks: list[tuple[bytes, bytes | None]]) -> np.ndarray:
+    def strings(self, code: np.ndarray):
+        """Strings under the contexts of hot anchors: (starts, different hashes, hash of each start, seen twice, parts)."""
+        some = np.flatnonzero(code & HOT)
+        low, size = self.low[self.first[some]], self.high[self.first[some]] - self.low[self.first[some]] + 1
+        reach = self.length - self.gram + 1
+        up, down = powers(SEGMENT + self.length)
+        wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((self.data, np.zeros(reach + self.length, np.uint8))), reach + self.length - 1)
+        start, string = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for at in range(0, len(some), CHUNK):
+            first = low[at : at + CHUNK, None]
+            sums = np.zeros((len(first), reach + self.length), np.uint64)
+            np.cumsum((wide[first[:, 0]].astype(np.uint64) + np.uint64(1)) * up[: reach + self.length - 1], axis=1, out=sums[:, 1:])
+            found = mix((sums[:, self.length :] - sums[:, :reach]) * down[:reach])
+            inside = np.arange(reach) < size[at : at + CHUNK, None]
+            start.append((first + np.arange(reach))[inside])
+            string.append(found[inside])
+        start, string = np.concatenate(start), np.concatenate(string)
+        string, which = np.unique(string, return_inverse=True)
+        twice = np.bincount(which, np.repeat(1 + (code[some] & FULL > 0), size), len(string)) >= 2
+        return start, string, which, twice, slices(string, self.parts)
+
+    def removed(self, code: np.ndarray, masks: list[tuple[bytes, bytes | None]], hot: list[tuple[bytes, bytes | None]]) -> np.ndarray:
         """Mask of the bytes under a repeated string."""
         full = (code & FULL > 0)[self.which]
         step = np.zeros(len(self.data) + 1, np.int64)
@@ -134,11 +163,13 @@ class Bucket:
             # These contexts stand in one place only.
             row, offset = np.nonzero(np.unpackbits(np.frombuffer(packed, np.uint8).reshape(-1, width), axis=1))
             repeat[self.place[self.first[at[row]]] - offset] = True
+        start, _, which, _, cut = self.strings(code)
+        repeat[start[unbits([r for r, _ in hot], [b - a for _, a, b in cut])[which]]] = True
         return covered(np.flatnonzero(repeat), self.length, len(self.data))
 
 
-def judge_contexts(table: pa.Table) -> pa.Table:
-    """Which contexts stand in two places, and which must be sorted against others with the same anchor?"""
+def judge_contexts(table: pa.Table, hot_contexts: int) -> pa.Table:
+    """Which contexts stand in two places, which must be compared with others of their anchor, and is that one hot?"""
     anchor, sizes = gather(table.column("anchors"), np.uint64)
     context, _ = gather(table.column("contexts"), np.uint64)
     times = 1 + unbits(table.column("twice").to_pylist(), sizes)
@@ -147,12 +178,27 @@ def judge_contexts(table: pa.Table) -> pa.Table:
     new = first_of_runs(a, c)
     by_context, by_anchor = np.cumsum(new) - 1, np.cumsum(first_of_runs(a)) - 1
     full = np.bincount(by_context, times)[by_context] >= 2
-    several = np.bincount(by_anchor, new)[by_anchor] >= 2
+    different = np.bincount(by_anchor, new)[by_anchor]
     code = np.zeros(len(anchor), np.uint8)
-    code[order] = full * FULL + (several & new) * SEND
+    code[order] = full * FULL + ((different >= 2) & new) * SEND + ((different > hot_contexts) & (different >= 2) & new) * HOT
     return answers(table.column("bucket").to_pylist(), table.column("part")[0].as_py(), 1, code, sizes, lambda x: x.tobytes())
 
 
+def judge_strings(table: pa.Table) -> pa.Table:
+    """Which strings under the contexts of hot anchors stand in two places?"""
+    string, sizes = gather(table.column("contexts"), np.uint64)
+    times = 1 + unbits(table.column("full").to_pylist(), sizes)
+    _, group = np.unique(string, return_inverse=True)
+    return answers(table.column("bucket").to_pylist(), table.column("part")[0].as_py(), 3, np.bincount(group, times)[group] >= 2, sizes, bits)
+
+
+def compare_contexts(table: pa.Table, length: int) -> pa.Table:
+    """Sorted contexts and dealt strings of one part."""
+    dealt = pc.is_null(table.column("least"))
+    out = [judge(rows) for judge, rows in ((lambda t: sort_contexts(t, length), table.filter(pc.invert(dealt))), (judge_strings, table.filter(dealt))) if len(rows)]
+    return pa.concat_tables(out)
+
+
 def sort_contexts(table: pa.Table, length: int) -> pa.Table:
     """For each context that stands once: at which offsets of its anchor is the string of ``length`` bytes repeated?
 
@@ -194,7 +240,7 @@ def sort_contexts(table: pa.Table, length: int) -> pa.Table:
     })
 
 
-def remove_repeated_bytes(samples: DataFrame, key: str = "sample_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeated_bytes(samples: DataFrame, key: str = "sample_id", text: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Remove from every sample text each byte under a string of ``length`` bytes that also starts anywhere else.
 
     ``samples`` has a sample id of any type and a text (a grounding description or a whole annotation document), taken
@@ -206,7 +252,8 @@ def remove_repeated_bytes(samples: DataFrame, key: str = "sample_id", text: str
     anchor, tell which strings are repeated.
 
     Texts are dealt to buckets by a hash, and long texts are hashed in stretches. A part holds the different contexts
-    of its anchors, equal ones once.
+    of its anchors, equal ones once. An anchor with more than ``hot_contexts`` different ones is not sorted in one
+    task: its buckets ask for every string under them by hash, and the strings are dealt over all parts.
 
     Returns (key, n_bytes, n_removed, spans, kept), one row for each input row: ``spans`` are the maximal removed runs
     as byte offsets [start, end), ``kept`` the remaining bytes. Null texts count as empty, which removes nothing. Ids
@@ -226,7 +273,7 @@ def remove_repeated_bytes(samples: DataFrame, key: str = "sample_id", text: str
 
     def finish(table: pa.Table, reply: pa.Table) -> pa.Table:
         bucket = Bucket(table, length, parts)
-        gone = bucket.removed(bucket.codes(reply), replies(reply, 2))
+        gone = bucket.removed(bucket.codes(reply), replies(reply, 2), replies(reply, 3))
         edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).view(np.int8))).reshape(-1, 2)
         first = np.searchsorted(edge[:, 0], bucket.starts)
         out = {"key": bucket.keys, "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
@@ -242,9 +289,9 @@ def remove_repeated_bytes(samples: DataFrame, key: str = "sample_id", text: str
         return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
 
     grouped = rows.groupBy("bucket")
-    judged = grouped.applyInArrow(ask, question_schema("anchors", "contexts", "twice")).groupBy("part").applyInArrow(judge_contexts, ANSWER)
+    judged = grouped.applyInArrow(ask, question_schema("anchors", "contexts", "twice")).groupBy("part").applyInArrow(lambda table: judge_contexts(table, hot_contexts), ANSWER)
     wanted = grouped.cogroup(judged.groupBy("bucket")).applyInArrow(send, question_schema("contexts", "least", "most", "full", "bytes"))
-    masks = wanted.groupBy("part").applyInArrow(lambda table: sort_contexts(table, length), ANSWER)
+    masks = wanted.groupBy("part").applyInArrow(lambda table: compare_contexts(table, length), ANSWER)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([rows.schema["key"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
     out = grouped.cogroup(judged.unionByName(masks).groupBy("bucket")).applyInArrow(finish, schema)

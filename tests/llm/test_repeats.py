@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scenesift.llm.deep_shallow import sort_suffixes
 from scenesift.llm.substring_dedup import remove_repeated_words
-from scenesift.llm.suffix_dedup import remove_repeated_bytes
+from scenesift.llm.suffix_dedup import Bucket, remove_repeated_bytes
 
 from . import brute
 
@@ -46,6 +47,26 @@ def test_bytes(spark, length):
     assert any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_bytes_under_hot_anchors(spark, hot):
+    """Strings dealt by hash give what the suffix sort gives, also where contexts of one anchor stand twice."""
+    rows = grounding_texts()
+    passage = rows[3][1] + " " + rows[10][1] + " the brown mug on the left table, upright beside the red box " * 3
+    rows += [(300 + k, f"object {k} {k * k} " + passage[: len(passage) - 7 * (k % 5)] + f" in view {k % 11}") for k in range(40)]
+    out = remove_repeated_bytes(table(spark, rows), length=60, bucket_bytes=4000, part_bytes=9000, hot_contexts=hot).collect()
+    got = sorted((r.sample_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in out)
+    assert got == sorted(brute.removed_bytes(rows, 60))
+
+
+def test_anchors_spread_over_parts(spark):
+    """An anchor is the least of many hashes; the parts must share the contexts all the same."""
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(40000)).encode()]
+    bucket = Bucket(pa.table({"bucket": [0], "key": [1], "text": pa.array(texts, pa.binary())}), 200, 10)
+    sizes = [b - a for _, a, b in bucket.cut]
+    assert len(sizes) == 10 and max(sizes) < 2 * sum(sizes) / 10
+
+
 def test_bytes_of_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
