@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -51,6 +53,18 @@ class Notice:
         self.seeds = [(text[a:b], a) for a, b in zip(cut, cut[1:])]
         self.pattern = regex.compile(f"(?b)(?:{regex.escape(text, special_only=True)}){{e<={self.errors}}}")
 
+    def whole_words(self, line: str, start: int, end: int, errors: int) -> tuple[int, int, int] | None:
+        """(errors, start, end) of the best run of whole words near a match; None when none is within the bound."""
+        if (start == 0 or line[start - 1] == " ") and (end == len(line) or line[end] == " "):
+            return errors, start, end
+        reach = 2 * self.errors + 1
+        near = lambda at: range(max(0, at - reach), min(len(line), at + reach) + 1)
+        firsts = [a for a in near(start) if a == 0 or line[a - 1] == " "]
+        lasts = [b for b in near(end) if b == len(line) or line[b] == " "]
+        runs = [(a, b) for a in firsts for b in lasts if abs(b - a - len(self.text)) <= self.errors]
+        fits = ((self.pattern.fullmatch(line, a, b), a, b) for a, b in runs)
+        return min(((sum(m.fuzzy_counts), a, b) for m, a, b in fits if m), default=None)
+
 
 def near_notices(text: str, notices: list[Notice], hits: dict[str, list[int]]) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, errors, similarity) of every near match in a text of words joined by single blanks."""
@@ -67,8 +81,10 @@ def near_notices(text: str, notices: list[Notice], hits: dict[str, list[int]]) -
             end = merged[-1][1]
         for a, b in merged:
             for m in notice.pattern.finditer(text, a, min(b, len(text))):
-                errors = sum(m.fuzzy_counts)
-                found.append((notice.label, m.start(), m.end(), errors, 1 - errors / len(notice.text)))
+                whole = notice.whole_words(text, m.start(), m.end(), sum(m.fuzzy_counts))
+                if whole:
+                    errors, start, end = whole
+                    found.append((notice.label, start, end, errors, 1 - errors / len(notice.text)))
     return found
 
 
@@ -76,11 +92,12 @@ def scan_text(text: str | None, phrases, notices: list[Notice], seeds: ahocorasi
     # Bytes lower-case A-Z only, whatever the language.
     words = WORD.findall((text or "").encode().lower().decode())
     line = " ".join(words)
+    first = list(accumulate((len(w) + 1 for w in words), initial=0))
     framed, places, base = f" {line} ", [], set()
     for phrase, label in phrases:
         at = framed.find(f" {phrase} ")
         while at >= 0:
-            places.append(framed.count(" ", 0, at))
+            places.append(bisect_right(first, at) - 1)
             base.add(label)
             at = framed.find(f" {phrase} ", at + 1)
     hits: dict[str, list[int]] = {}
@@ -89,7 +106,7 @@ def scan_text(text: str | None, phrases, notices: list[Notice], seeds: ahocorasi
     near = near_notices(line, notices, hits) if hits else []
     labels = base | {x[0] for x in near}
     score = 1.0 if base else max((x[4] for x in near), default=0.0)
-    spans = [(label, line.count(" ", 0, a), line[a:b], errors) for label, a, b, errors, _ in sorted(near, key=lambda x: (x[1], x[0]))]
+    spans = [(label, bisect_right(first, a) - 1, line[a:b], errors) for label, a, b, errors, _ in sorted(near, key=lambda x: (x[1], x[0]))]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
@@ -100,7 +117,8 @@ def scan_licenses(samples: DataFrame, key: str = "sample_id", text: str = "text"
     lower-cased, and the words are runs of letters, digits and non-ASCII characters. ``phrases`` are found exactly,
     word by word. ``notices`` may differ by up to ``error_share`` of their characters: each is cut into one piece
     more than it may have errors, so one piece of every near match stands unchanged; one Aho-Corasick pass finds
-    the pieces, and the fuzzy pattern of the notice verifies the surroundings of each and reports the span.
+    the pieces, and the fuzzy pattern of the notice verifies the surroundings of each and reports the span; a
+    match counts as the whole words around it, still within the bound.
 
     Returns (key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans), one row for each input
     row: base places and labels from the phrases, labels also from the notices, score 1 with a phrase, else the

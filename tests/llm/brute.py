@@ -88,3 +88,28 @@ def removed_lines(docs, min_words):
         lines = every[d][1]
         out.append((every[d][0], len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone)))
     return out
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near_labels(text, notices, share):
+    """Labels of the notices that some run of whole words is within the error bound of."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").encode().lower().decode())
+    found = set()
+    for notice, label in notices:
+        bound = int(len(notice) * share)
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                run = " ".join(w[i:j])
+                if len(run) > len(notice) + bound:
+                    break
+                if len(run) >= len(notice) - bound and edit_distance(run, notice) <= bound:
+                    found.add(label)
+    return found

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scenesift.llm.license_scan import scan_licenses
+from scenesift.llm.license_scan import ERROR_SHARE, NOTICES, scan_licenses
 from scenesift.llm.mixing import mix_sources
 from scenesift.llm.quality import judge_quality
 from scenesift.llm.toxicity import fit_pu, score_toxicity, train
@@ -137,6 +137,31 @@ def plain_statistics(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(gone)
 
 
+def test_license_scan_against_all_word_runs(spark):
+    """Labels of near matches equal those of an edit distance over every run of words."""
+    r = random.Random(5)
+    rows = [(0, "small rights reservedly"), (1, "all rights reservedl y"), (2, "xall rights reserved"), (3, "a ll rights reserved")]
+    for k in range(4, 120):
+        words = list(r.choice(NOTICES)[0])
+        for _ in range(r.randint(0, 7)):
+            at = r.randrange(len(words))
+            words[at : at + r.randint(0, 1)] = r.choice(["", "x", " ", "s"])
+        pad = [r.choice(["mug", "released", "all", "the", "rights"]) for _ in range(6)]
+        rows.append((k, " ".join(pad[:3]) + r.choice([" ", "", "."]) + "".join(words) + r.choice([" ", "", "!"]) + " ".join(pad[3:])))
+    out = scan_licenses(spark.createDataFrame(rows, "sample_id long, text string"), phrases=()).collect()
+    got = {x.sample_id: set(filter(None, x.labels.split(","))) for x in out}
+    assert got == {k: brute.near_labels(t, NOTICES, ERROR_SHARE) for k, t in rows}
+    assert not got[0] and any(got.values()) and sum(not v for v in got.values()) > 5
+
+
+def test_license_places_in_a_long_text(spark):
+    text = "word mit license and all rights reserved " * 4000
+    (row,) = scan_licenses(spark.createDataFrame([("a", text)], "sample_id string, text string")).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (28000, 4000, 1, 27994)
+    assert [x.first_word for x in row.spans] == list(range(4, 28000, 7))
+
+
+
 def test_quality(spark):
     r = random.Random(3)
     vocabulary = ["the", "of", "a", "mug", "table", "Box", "Ünder", "on"]
