@@ -173,7 +173,9 @@ def judge_contexts(table: pa.Table, hot_contexts: int) -> pa.Table:
     anchor, sizes = gather(table.column("anchors"), np.uint64)
     context, _ = gather(table.column("contexts"), np.uint64)
     times = 1 + unbits(table.column("twice").to_pylist(), sizes)
-    order = np.lexsort((context, anchor))
+    # By bucket too: whoever is asked to send must be the same one whenever this runs again.
+    bucket = np.repeat(np.array(table.column("bucket").to_pylist(), np.int64), sizes)
+    order = np.lexsort((bucket, context, anchor))
     a, c, times = anchor[order], context[order], times[order]
     new = first_of_runs(a, c)
     by_context, by_anchor = np.cumsum(new) - 1, np.cumsum(first_of_runs(a)) - 1

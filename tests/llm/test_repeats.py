@@ -8,7 +8,7 @@ import pytest
 
 from scenesift.llm.deep_shallow import sort_suffixes
 from scenesift.llm.substring_dedup import remove_repeated_words
-from scenesift.llm.suffix_dedup import Bucket, remove_repeated_bytes
+from scenesift.llm.suffix_dedup import Bucket, judge_contexts, remove_repeated_bytes
 
 from . import brute
 
@@ -67,6 +67,13 @@ def test_anchors_spread_over_parts(spark):
     assert len(sizes) == 10 and max(sizes) < 2 * sum(sizes) / 10
 
 
+def test_answers_do_not_depend_on_the_order_of_the_questions():
+    texts = [(t or "").encode() for _, t in grounding_texts()]
+    asked = [Bucket(pa.table({"key": list(range(20)), "text": pa.array(texts[k : k + 20], pa.binary())}), 60, 1).questions(k) for k in range(0, 120, 20)]
+    found = [sorted(judge_contexts(pa.concat_tables(x), 1).to_pylist(), key=lambda r: r["bucket"]) for x in (asked, asked[::-1], asked[3:] + asked[:3])]
+    assert found[0] == found[1] == found[2] and any(max(r["reply"]) >= 7 for r in found[0])
+
+
 def test_bytes_of_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
