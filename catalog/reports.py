@@ -350,6 +350,29 @@ SELECT q.sample_key, lpad(CAST(nth AS VARCHAR), 6, '0') AS box_id, round(CAST(sc
 _OVER = " * ".join(f"greatest(least(a.p_{c} + a.p_{s} / 2, b.p_{c} + b.p_{s} / 2) - greatest(a.p_{c} - a.p_{s} / 2, b.p_{c} - b.p_{s} / 2), 0)" for c, s in (("cx", "l"), ("cy", "w"), ("cz", "h")))
 view_query("nms3d", "fx_boxes", "WITH RECURSIVE " + NMS.replace("{ov}", f"({_OVER})"))(
     lambda d: ev.nms3d(numbered_boxes(d), ["sample_key"], "box_id", "score", 0.5, False).select("sample_key", "box_id", "score"))
+# Every 11th part is 1,000 times as long and wide; a quarter turn for each part number swaps length and width.
+_BIG, _TURN = "CASE WHEN part_key % 11 = 0 THEN 1000 ELSE 1 END", "part_key % 2 = 1"
+
+
+def reshaped(d, turned):
+    """Boxes of very different sizes, with headings in quarter turns when ``turned``."""
+    numbered = pairs(d).withColumn("order_key", F.struct(*[F.col(c) for c in BOX_ID]))
+    nth = F.row_number().over(Window.partitionBy("sample_key").orderBy("order_key"))
+    b, big = F.col("pred"), F.expr(_BIG)
+    yaw = F.col("part_key") % 4 * F.lit(math.pi / 2) if turned else F.lit(0.0)
+    shape = bx.box(b["cx"], b["cy"], b["cz"], b["l"] * big, b["w"] * big, b["h"], yaw)
+    return numbered.select("sample_key", F.format_string("%06d", nth).alias("box_id"), "score", shape.alias("box"))
+
+
+def reshaped_sql(turned):
+    side = lambda a, b: f"(CASE WHEN {_TURN} THEN p_{b} ELSE p_{a} END) * ({_BIG})" if turned else f"p_{a} * ({_BIG})"
+    shaped = NMS.replace("q AS (SELECT *, row", f"r2 AS (SELECT * REPLACE ({side('l', 'w')} AS p_l, {side('w', 'l')} AS p_w) FROM r),\nq AS (SELECT *, row").replace("AS place FROM r)", "AS place FROM r2)")
+    return "WITH RECURSIVE " + shaped.replace("> 0.5)", "> 0.4567)").replace("{ov}", f"({_OVER})")
+
+
+for _name, _turned in (("nms3d_scales", False), ("nms3d_rotated", True)):
+    view_query(_name, "fx_boxes", reshaped_sql(_turned))(
+        lambda d, turned=_turned: ev.nms3d(reshaped(d, turned), ["sample_key"], "box_id", "score", 0.4567, turned).select("sample_key", "box_id", "score"))
 _Q = """(SELECT *, CASE WHEN confidence < 0.5 THEN 'low confidence' WHEN num_points < 100 THEN 'too few points'
  WHEN least(p_l, p_w, p_h) <= 0 OR greatest(p_l, p_w, p_h) > least(p_l, p_w, p_h) * 10 THEN 'bad aspect ratio' WHEN g_cx / 10 < 0.1 OR g_cx / 10 > 10 THEN 'depth out of range' END AS reason
  FROM (SELECT *, iou AS confidence, part_key % 400 AS num_points FROM x))"""

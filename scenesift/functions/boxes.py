@@ -92,8 +92,9 @@ def intersection(a: Column, b: Column, rotated: bool = True) -> Column:
 
 
 def iou3d(a: Column, b: Column, rotated: bool = True) -> Column:
+    """Shared volume over joint volume; null for two boxes without volume."""
     shared = intersection(a, b, rotated)
-    return shared / (volume(a) + volume(b) - shared)
+    return F.try_divide(shared, volume(a) + volume(b) - shared)
 
 
 def _hull_area(a: Column, b: Column) -> Column:

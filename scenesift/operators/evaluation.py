@@ -11,6 +11,8 @@ from scenesift.session import cut_lineage
 # Accuracy thresholds, loss weights, and annotation quality limits.
 IOU_THRESHOLDS = (0.25, 0.5)
 LOSS_WEIGHTS = {"l1": 5.0, "giou3d": 2.0, "yaw": 1.0}
+# Boxes without extent live in cells of this width; room for rounding where volumes rule out an overlap.
+MIN_EXTENT, VOLUME_SLACK = 1e-9, 1 - 1e-9
 MIN_CONFIDENCE, MIN_POINTS, MAX_ASPECT, MIN_DEPTH, MAX_DEPTH = 0.5, 100, 10.0, 0.1, 10.0
 
 
@@ -49,33 +51,49 @@ def _rank_key(score: str, tie: list[str]):
 def overlap_edges(boxes: DataFrame, group: list[str], box_id: str, threshold: float, rotated: bool) -> DataFrame:
     """(group, winner, loser): pairs above the IoU threshold, the higher score wins.
 
-    Boxes meet in ground cells as wide as the largest box, so each covers at most four.
-    The pair is taken only in the cell of its common lower corner: no pair twice, and
-    no pair at all between boxes that are far apart.
+    A hash grid of several levels: a box lives in the cells of the level whose width is
+    the next power of two above its own, so it covers at most four. It asks there and in
+    its cells of every coarser level in use, so a pair meets at the level of its larger
+    box, and only in the cell of its common lower corner: no pair twice, whatever the
+    spread of sizes. Pairs whose volumes alone rule out the threshold are dropped early.
     """
-    area = footprint(F.col("box"))
-    xs, ys = F.transform(area, lambda c: c["x"]), F.transform(area, lambda c: c["y"])
+    if rotated:
+        area = footprint(F.col("box"))
+        xs, ys = F.transform(area, lambda c: c["x"]), F.transform(area, lambda c: c["y"])
+    else:
+        xs, ys = (F.array(*[F.col("box")[c] + F.col("box")[size] * half for half in (-0.5, 0.5)]) for c, size in (("cx", "l"), ("cy", "w")))
     flat = boxes.select(
         *group, box_id, "rank_key", *[F.col("box")[f].alias("b_" + f) for f in BOX_FIELDS],
         F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"),
     )
-    width = flat.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("m")).first()["m"] or 1.0
-    cell = float(max(width, 1e-9))
-    tagged = flat
-    for axis in "xy":
-        low, high = F.floor(F.col(axis + "0") / cell), F.floor(F.col(axis + "1") / cell)
-        tagged = tagged.withColumn("cell_" + axis, F.explode(F.sequence(low, high)))
-    meet = group + ["cell_x", "cell_y"]
-
-    def side(prefix, name):
-        renamed = {box_id: name, "rank_key": prefix + "rank", "x0": prefix + "x0", "y0": prefix + "y0", **{"b_" + f: prefix + f for f in BOX_FIELDS}}
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(MIN_EXTENT))
+    flat = flat.withColumn("level", F.ceil(F.log2(extent)).cast("int"))
+    # The exponents of doubles bound this list.
+    in_use = sorted(r["level"] for r in flat.select("level").filter("level IS NOT NULL").distinct().collect())
+    coarser = F.filter(F.array(*[F.lit(v) for v in in_use]).cast("array<int>"), lambda v: v >= F.col("level"))
+    width = F.pow(F.lit(2.0), F.col("meet_level"))
+    meet = group + ["meet_level", "cell_x", "cell_y"]
+
+    def side(prefix, levels):
+        tagged = flat.withColumn("meet_level", levels)
+        for axis in "xy":
+            low, high = F.floor(F.col(axis + "0") / width), F.floor(F.col(axis + "1") / width)
+            tagged = tagged.withColumn("cell_" + axis, F.explode(F.sequence(low, high)))
+        renamed = {box_id: prefix + "id", "rank_key": prefix + "rank", "level": prefix + "level", **{c: prefix + c for c in ("x0", "x1", "y0", "y1")}, **{"b_" + f: prefix + f for f in BOX_FIELDS}}
         return tagged.select(*meet, *[F.col(c).alias(n) for c, n in renamed.items()])
 
-    lower = lambda a: F.floor(F.greatest(F.col("w_" + a + "0"), F.col("l_" + a + "0")) / cell)
-    pairs = side("w_", "winner").join(side("l_", "loser"), meet)
-    pairs = pairs.filter((F.col("w_rank") < F.col("l_rank")) & (lower("x") == F.col("cell_x")) & (lower("y") == F.col("cell_y")))
-    rebuilt = [box(*[F.col(prefix + f) for f in BOX_FIELDS]) for prefix in ("w_", "l_")]
-    return pairs.filter(iou3d(*rebuilt, rotated) > threshold).select(*group, "winner", "loser")
+    pairs = side("h_", F.col("level")).join(side("a_", F.explode(coarser)), meet)
+    pairs = pairs.filter((F.col("a_level") < F.col("h_level")) | (F.col("h_rank") < F.col("a_rank")))
+    for axis in "xy":
+        lower = F.greatest("h_" + axis + "0", "a_" + axis + "0")
+        pairs = pairs.filter((lower <= F.least("h_" + axis + "1", "a_" + axis + "1")) & (F.floor(lower / width) == F.col("cell_" + axis)))
+    volume = {p: F.col(p + "l") * F.col(p + "w") * F.col(p + "h") for p in ("h_", "a_")}
+    pairs = pairs.filter(F.least(*volume.values()) >= F.greatest(*volume.values()) * (threshold * VOLUME_SLACK))
+    rebuilt = {p: box(*[F.col(p + f) for f in BOX_FIELDS]) for p in ("h_", "a_")}
+    first = F.col("h_rank") < F.col("a_rank")
+    better, worse = (F.when(first, rebuilt[x]).otherwise(rebuilt[y]) for x, y in (("h_", "a_"), ("a_", "h_")))
+    named = pairs.select(*group, better.alias("better"), worse.alias("worse"), F.when(first, F.col("h_id")).otherwise(F.col("a_id")).alias("winner"), F.when(first, F.col("a_id")).otherwise(F.col("h_id")).alias("loser"))
+    return named.filter(iou3d(F.col("better"), F.col("worse"), rotated) > threshold).select(*group, "winner", "loser")
 
 
 def nms3d(boxes: DataFrame, group: list[str], box_id: str, score: str, threshold: float, rotated: bool = True) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,46 @@ def test_nms_against_greedy(spark):
     assert got == {r[1] for r in kept}
 
 
+def overlap_of(a, b):
+    """Shared area of two turned rectangles (x, y, l, w, yaw): corners of one cut by the sides of the other."""
+    turn = lambda r, px, py: (r[0] + math.cos(r[4]) * px - math.sin(r[4]) * py, r[1] + math.sin(r[4]) * px + math.cos(r[4]) * py)
+    shape = [turn(a, a[2] / 2 * sx, a[3] / 2 * sy) for sx, sy in ((1, 1), (-1, 1), (-1, -1), (1, -1))]
+    for k, half in enumerate((b[2], b[3], b[2], b[3])):
+        nx, ny = math.cos(b[4] + k * math.pi / 2), math.sin(b[4] + k * math.pi / 2)
+        depth = lambda p: nx * (p[0] - b[0]) + ny * (p[1] - b[1]) - half / 2  # noqa: E731, B023
+        out = []
+        for p, q in zip(shape, shape[1:] + shape[:1]):
+            s, t = depth(p), depth(q)
+            out += [p] if s <= 0 else []
+            out += [tuple(u + s / (s - t) * (v - u) for u, v in zip(p, q))] if s * t < 0 else []
+        shape = out
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(shape, shape[1:] + shape[:1]))) / 2
+
+
+def test_nms_of_turned_boxes_of_all_sizes(spark):
+    """Sizes from a hundredth to 1,000 times the usual one, some of them alike, one of them around everything."""
+    r = random.Random(8)
+    rows = []
+    for n in range(260):
+        scale = r.choice([0.01, 1, 1, 1, 7, 90])
+        rows.append((r.randrange(2), n, float(r.randrange(9)), r.uniform(-20, 20), r.uniform(-20, 20), r.uniform(3, 9) * scale, r.uniform(3, 9) * scale, r.choice([0.0, r.uniform(-4, 4)])))
+    rows += [(0, 900, 99.0, 1.0, 2.0, 9000.0, 8000.0, 0.3), (0, 901, 98.0, 3.0, 2.0, 8900.0, 8100.0, 0.31), (1, 902, 50.0, -20.0, 5.0, 0.0, 0.0, 0.0), (1, 903, 51.0, -16.0, 16.0, 16.0, 16.0, 0.0)]
+    df = spark.createDataFrame(rows, "g int, id int, score double, x double, y double, l double, w double, yaw double")
+    boxes = df.select("g", "id", "score", bx.box(F.col("x"), F.col("y"), F.lit(0.0), F.col("l"), F.col("w"), F.lit(1.0), F.col("yaw")).alias("box"))
+    got = {x.id for x in ev.nms3d(boxes, ["g"], "id", "score", 0.3).collect()}
+
+    def iou(a, b):
+        shared = overlap_of(a[3:], b[3:])
+        return shared / (a[5] * a[6] + b[5] * b[6] - shared)
+
+    kept = []
+    for x in sorted(rows, key=lambda x: (-x[2], x[1])):
+        if all(k[0] != x[0] or iou(k, x) <= 0.3 for k in kept):
+            kept.append(x)
+    assert got == {x[1] for x in kept} and 900 in got and 901 not in got
+    assert len(got) < len(rows) - 20
+
+
 def test_category_stream(spark, documents, tmp_path):
     from scenesift.streaming.samples import category_counts_stream
 
