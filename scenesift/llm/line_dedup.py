@@ -100,7 +100,8 @@ def remove_repeated_lines(samples: DataFrame, key: str = "sample_id", text: str
     gives no rows.
     """
     own = [c for c in samples.columns if c not in ("n_lines", "n_removed", "kept")]
-    docs = stored(samples.select(*own, F.monotonically_increasing_id().alias("_doc_row"), F.col(key).alias("_doc_key"), F.col(text).alias("_doc_text")).drop(text))
+    # The columns of the samples travel in a struct, so that none can clash with the operator's own.
+    docs = stored(samples.select(F.struct(*[c for c in own if c != text]).alias("_own"), F.monotonically_increasing_id().alias("_doc_row"), F.col(key).alias("_doc_key"), F.col(text).alias("_doc_text")))
     runs = repeated_runs(stored(line_table(docs, min_words)), min_words)
     gone = runs.groupBy("_doc_row").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     gone = gone.select("_doc_row", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias("_gone"))
@@ -111,7 +112,7 @@ def remove_repeated_lines(samples: DataFrame, key: str = "sample_id", text: str
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")
     n_of = lambda array: F.when(F.col(array).isNull(), F.lit(0)).otherwise(F.size(array)).cast("long")
     out = rows.select(
-        *[F.col("_doc_text").alias(text) if c == text else F.col(c) for c in own],
+        *[F.col("_doc_text").alias(text) if c == text else F.col("_own").getField(c).alias(c) for c in own],
         n_of("_lines").alias("n_lines"), n_of("_gone").alias("n_removed"),
         F.when(F.col("_gone").isNull(), F.col("_doc_text")).otherwise(kept).alias("kept"))
     return out

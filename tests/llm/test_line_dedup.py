@@ -44,3 +44,12 @@ def test_nulls_and_repeated_rows(spark):
     out = remove_repeated_lines(spark.createDataFrame(rows, "sample_id long, text string")).collect()
     assert sorted((r.sample_id or 0, r.n_removed, r.kept or "-") for r in out) == [(0, 0, text), (3, 2, "-"), (3, 2, "-"), (4, 0, "-")]
     assert remove_repeated_lines(spark.createDataFrame([], "sample_id long, text string")).count() == 0
+
+
+def test_columns_of_the_samples_cannot_clash(spark):
+    text = "one two three four five six\nseven eight nine ten eleven"
+    names = ["_doc_row", "_doc_key", "_doc_text", "_own", "_lines", "_gone", "names"]
+    rows = spark.createDataFrame([(k, text, *range(7)) for k in (1, 2)], "sample_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = {r.sample_id: r for r in remove_repeated_lines(rows).collect()}
+    assert [out[1].n_removed, out[2].n_removed] == [0, 2]
+    assert all([r[n] for n in names] == list(range(7)) for r in out.values())

@@ -7,12 +7,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from scenesift.llm import url_filter
 from scenesift.llm.license_scan import ERROR_SHARE, NOTICES, scan_licenses
 from scenesift.llm.mixing import mix_sources
 from scenesift.llm.quality import judge_quality
 from scenesift.llm.toxicity import fit_pu, score_toxicity, train
-from scenesift.llm.url_filter import filter_urls
+from scenesift.llm.url_filter import LANES, bloom_words, filter_urls, may_be_listed
 
 from . import brute
 
@@ -231,3 +233,24 @@ def test_urls(spark):
     assert all((x.verdict == "block") == (x.page_id < 500) for x in filter_urls(asked, listed).collect())
     assert {x.verdict for x in filter_urls(frames, listed.limit(0)).collect()} == {"allow"}
     assert filter_urls(frames.limit(0), listed).count() == 0
+
+
+def test_bloom_words_are_tested_before_any_shuffle(spark):
+    listed = spark.createDataFrame([(f"h{k}.org/",) for k in range(3000)], "key string")
+    words = bloom_words(listed, 300)
+    assert len(spark.range(1).select(words).first()[0]) == 300 * LANES
+    asked = spark.range(20000).select(F.concat(F.lit("h"), "id", F.lit(".org/")).alias("key"), F.col("id"))
+    passed = asked.filter(may_be_listed(F.col("key"), words, 300))
+    assert "Exchange" not in passed._jdf.queryExecution().executedPlan().toString()
+    assert passed.filter("id < 3000").count() == 3000
+    assert passed.filter("id >= 3000").count() < 170
+
+
+def test_a_full_filter_and_clashing_columns_change_no_verdict(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    listed = spark.createDataFrame([(f"h{k}.org", "/", "block") for k in range(400)], "host string, path string, verdict string")
+    names = ["row", "frame", "passed", "key", "best", "found", "salt", "_row"]
+    asked = spark.createDataFrame([(k, f"http://www.h{k}.org/a", *range(8)) for k in range(0, 800, 7)], "page_id long, image_url string, " + ", ".join(f"{n} int" for n in names))
+    out = filter_urls(asked, listed).collect()
+    assert len(out) == asked.count() and out[0].asDict().keys() == {"page_id", "image_url", *names, "host", "path", "rule", "verdict"}
+    assert all((x.verdict == "block") == (x.page_id < 400) and [x[n] for n in names] == list(range(8)) for x in out)
