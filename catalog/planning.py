@@ -270,7 +270,7 @@ def ransac(s):
     return srf.surface_ransac(s.points, s.base, s.grid, s.objects, s.own, CONFIG)[0].select(*OBJ, "plane", "table_z", "area", "d2")
 
 
-scene_query("surface_ransac")(ransac)
+scene_query("surface_ransac", query("rs_best", out("scene_id frame_id obj_id plane:i table_z:i area:i d2:i", "rs_best")))(ransac)
 
 
 def supported(s):
@@ -278,7 +278,7 @@ def supported(s):
     return srf.support_surface(s.points, s.base, s.grid, s.objects, s.own, CONFIG)[1]
 
 
-scene_query("support_surface")(supported)
+scene_query("support_surface", query("rs_cells", out("scene_id frame_id obj_id table_z:i i:i j:i", "rs_cells")))(supported)
 
 # ---- search and filters on the layer surface ---------------------------------------
 
