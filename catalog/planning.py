@@ -394,12 +394,14 @@ def flat_placements(t):
     return spread_array(p, "aabb_world", ["lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z"])
 
 
-scene_query("sink_samples", query("obj placed_box visible", out("sample_id scene_id frame_id object_id class_name rank:i yaw_degrees:d free_space_score:i center_x:d center_y:d center_z:d lo_x:d lo_y:d lo_z:d hi_x:d hi_y:d hi_z:d", f"""(
+_FLAT = out("sample_id scene_id frame_id object_id class_name rank:i yaw_degrees:d free_space_score:i center_x:d center_y:d center_z:d lo_x:d lo_y:d lo_z:d hi_x:d hi_y:d hi_z:d", f"""(
  SELECT concat(scene_id, '_', frame_id, '_', obj_id, '_p', lpad(CAST("rank" AS VARCHAR), 3, '0')) AS sample_id, {FKC}, obj_id AS object_id, class_name, "rank",
   degrees(yaw) AS yaw_degrees, floor(centroid_cells * 5) AS free_space_score, ctr0 AS center_x, ctr1 AS center_y, ctr2 AS center_z,
-  {", ".join(f"alo{n} AS lo_{a}, ahi{n} AS hi_{a}" for n, a in enumerate("xyz"))} FROM {_SHOWN} JOIN obj USING ({OB}))""")))(lambda s: flat_placements(layer_plan(s)))
-# The full plan with fitted planes: rows only, its draw of point triplets has no SQL form.
-scene_query("plan_placements")(lambda s: flat_placements(plan.plan_placements(s.depth, s.camera, s.objects, CONFIG)))
+  {", ".join(f"alo{n} AS lo_{a}, ahi{n} AS hi_{a}" for n, a in enumerate("xyz"))} FROM {_SHOWN} JOIN obj USING ({OB}))""")
+scene_query("sink_samples", query("obj placed_box visible", _FLAT))(lambda s: flat_placements(layer_plan(s)))
+scene_query("plan_placements", query("obj placed_box visible", _FLAT, surface="rs_cells"))(
+    lambda s: flat_placements(plan.plan_placements(s.depth, s.camera, s.objects, CONFIG))
+)
 
 # ---- masks and point clouds --------------------------------------------------------
 
