@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenesift.session import ensure_checkpoint_dir
 
@@ -36,6 +37,30 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
+def integer_ids(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, T.IntegralType)
+
+
+def numbered_ids(df: DataFrame, key: str) -> DataFrame:
+    """(_id, _number): the different ids of ``df`` in their order, numbered from 0; null has no number.
+
+    The ids are cut into ranges and written, then numbered within their range; the counts of the ranges, one row for
+    each, give the number of its first id.
+    """
+    ids = df.select(F.col(key).alias("_id")).filter(F.col("_id").isNotNull()).distinct().repartitionByRange("_id")
+    ids = stored(ids.withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ids.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    firsts = ranges.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_id"))
+    return stored(ids.withColumn("_number", within).join(firsts, "_range").select("_id", (F.col("first") + F.col("_number") - 1).alias("_number")))
+
+
+def by_number(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """(_number, text): the texts of ``df`` under the numbers of their ids."""
+    return df.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(ids, "_id", "left").select("_number", "text")
+
+
 def bucketed(df: DataFrame, key: str, text: str, total: int, size: int = BUCKET_BYTES) -> DataFrame:
     """(bucket, key, text): whole texts dealt by a hash of key and text into even buckets of about ``size`` bytes.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenesift.llm.common import mix, tokens, window_hashes, window_ok
+from scenesift.llm.common import integer_ids, mix, tokens, window_hashes, window_ok
 
 #: Words of an item in a hundred that may be inserted, deleted or replaced.
 EDITS = 20
@@ -186,7 +186,7 @@ def find_leaks(samples: DataFrame, items: DataFrame, text: str = "text", item: s
     """Benchmark items that stand, whole and with few edits, in the sample texts.
 
     ``samples`` has a text (a grounding description or a whole annotation document); ``items`` are the held-out
-    benchmark: an id and the item's text. A-Z are lower-cased, words stand between ASCII blanks. An item leaks when
+    benchmark: an id, integer or text, and the item's text. A-Z are lower-cased, words stand between ASCII blanks. An item leaks when
     some stretch of a text has an edit distance in words of at most a fifth of the item's words. One of its pieces,
     one more than the edits allowed, then stands unchanged: exact seeds place windows of the item's length, CGK walks
     embed them, repeated samples of places are the LSH keys that an item must share, and each candidate is verified by
@@ -197,11 +197,13 @@ def find_leaks(samples: DataFrame, items: DataFrame, text: str = "text", item: s
     first_word, n_words, distance) by item; a column of that name is replaced. Null and empty texts, and items
     without words, leak nothing. Equal items are reported each. Empty tables give no rows or no leaks.
     """
-    known = items.select(F.col(item).cast("long").alias("k"), F.col(item_text).alias("t"))
+    number = integer_ids(items, item)
+    known = items.select(F.col(item).cast("long" if number else "string").alias("k"), F.col(item_text).alias("t"))
+    leak = LEAK if number else T.StructType([T.StructField("item_id", T.StringType()), *LEAK.fields[1:]])
     blocks = max(1, -(-known.count() // block_items))
     own = [c for c in samples.columns if c != "leaks"]
-    out = samples.select(*own, F.lit(None).cast(T.ArrayType(LEAK)).alias("leaks"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())]))
+    out = samples.select(*own, F.lit(None).cast(T.ArrayType(leak)).alias("leaks"))
+    kind = pa.list_(pa.struct([("item_id", pa.int64() if number else pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())]))
     for block in range(blocks):
         chosen = known.filter(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block).orderBy("k", "t")
         # A block's index takes some 3 kB for each item.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenesift.llm.common import mix, stored, tokens, window_hashes
+from scenesift.llm.common import by_number, integer_ids, mix, numbered_ids, stored, tokens, window_hashes
 from scenesift.llm.components import connected, extended
 
 #: Words of a shingle, and the least similarity of linked texts in per cent.
@@ -339,8 +339,8 @@ def exact_rest(groups: DataFrame, dense: DataFrame, sets: DataFrame, percent: in
 def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Groups of near-duplicate sample texts.
 
-    ``samples`` has an integer sample id and a text (a grounding description or a whole annotation document). A-Z are
-    lower-cased, words stand between ASCII blanks, and a text's set has its different ``shingle``-word shingles (all
+    ``samples`` has a sample id, an integer or a text such as ``scene_frame_object_p001``, and a text (a grounding
+    description or a whole annotation document). Text ids count in their order. A-Z are lower-cased, words stand between ASCII blanks, and a text's set has its different ``shingle``-word shingles (all
     words as one shingle when there are fewer). Texts are linked when 100 * intersection >= ``percent`` * union.
 
     Texts with equal sets become one node. In each sorted order of the signatures the nodes of a small region all
@@ -354,6 +354,11 @@ def near_duplicates(samples: DataFrame, key: str = "sample_id", text: str = "tex
     equal ids are one node. A row with a null id takes part in links, has the component of its group (null when no
     row of it has an id) and is kept only when that is null. Other columns are not read. Empty input gives no rows.
     """
+    if not integer_ids(samples, key):
+        ids = numbered_ids(samples, key)
+        out = near_duplicates(by_number(samples, key, text, ids), "_number", "text", shingle, percent)
+        out = out.join(ids, "_number", "left").join(ids.select(F.col("_number").alias("component_id"), F.col("_id").alias("_component")), "component_id", "left")
+        return out.select(F.col("_id").alias(key), "n_shingles", F.col("_component").alias("component_id"), "kept")
     texts = samples.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = stored(sign(texts, shingle))
     full = signed.filter("n_shingles > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenesift.llm.common import BUCKET_BYTES, bucketed, covered, text_bytes, tokens, window_hashes, window_ok
+from scenesift.llm.common import BUCKET_BYTES, bucketed, by_number, covered, integer_ids, numbered_ids, text_bytes, tokens, window_hashes, window_ok
 from scenesift.llm.packed import ANSWER, answers, bits, first_of_runs, gather, question_schema, replies, rows_of, slices, unbits
 
 WINDOW = 20
@@ -106,8 +106,8 @@ def find_earlier(table: pa.Table) -> pa.Table:
 def remove_repeated_words(samples: DataFrame, key: str = "sample_id", text: str = "text", window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Remove from every sample text the words of ``window``-word passages that stand earlier in the samples.
 
-    ``samples`` has an ordered sample id and a text (a grounding description or a whole annotation document); words
-    stand between ASCII blanks. A passage of ``window`` words holds at least one whole block of half as many words,
+    ``samples`` has a sample id, an integer or a text in its order, and a text (a grounding description or a whole
+    annotation document); words stand between ASCII blanks. A passage of ``window`` words holds at least one whole block of half as many words,
     whatever its alignment: the blocks of all texts are the index, every rolling window of that length probes it, and
     a hit counts when its hash stands in two places or more. Around hits the passages of full length are compared;
     one that also starts earlier (smaller id, or further ahead in the same text) is a repeat, and runs of repeats
@@ -121,6 +121,10 @@ def remove_repeated_words(samples: DataFrame, key: str = "sample_id", text: str
     first one is kept, and equal ids with different texts are in the order of their buckets. Other columns are not
     read. Empty input gives no rows.
     """
+    if not integer_ids(samples, key):
+        ids = numbered_ids(samples, key)
+        out = remove_repeated_words(by_number(samples, key, text, ids), "_number", "text", window, bucket_bytes, part_bytes)
+        return out.join(ids, "_number", "left").select(F.col("_id").alias(key), "n_words", "n_removed", "kept")
     total = text_bytes(samples, text)
     parts = max(1, -(-total // part_bytes))
     rows = bucketed(samples, key, text, total, bucket_bytes)

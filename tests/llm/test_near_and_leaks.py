@@ -130,3 +130,17 @@ def test_leaks(spark):
 def test_places_of_leaks():
     index = Items([(7, "the red mug stands left of the box on it")])
     assert index.scan([b"so: The red mug stands left of the box on it ok", b"x"]) == [[{"item_id": 7, "first_word": 1, "n_words": 10, "distance": 0}], []]
+
+
+def test_text_ids(spark):
+    """Sample ids as the annotations have them: the same groups and leaks as under numbers in the order of the ids."""
+    rows = grounding_texts()
+    name = lambda k: f"scene_{k // 50:02d}_obj_{'é' if k > 120 else 'a'}_p{k:03d}"
+    assert [name(k) for k, _ in sorted(rows)] == sorted(name(k) for k, _ in rows)
+    docs = spark.createDataFrame([(name(k), t) for k, t in rows] + [(None, rows[0][1])], "sample_id string, text string").repartition(3)
+    out = [r for r in near_duplicates(docs).collect() if r.sample_id is not None]
+    want = brute.near_components(rows)
+    assert {r.sample_id: (r.n_shingles, r.component_id, r.kept) for r in out} == {name(k): (n, name(c), k == c) for k, (n, c) in want.items()}
+    items = spark.createDataFrame([("mmlu/7", "The red mug stands left of the tall box on the table"), ("é", None)], "item_id string, text string")
+    leaks = find_leaks(spark.createDataFrame([("a", "so the red mug stands left of the tall box on the table it is")], "sample_id string, text string"), items).first().leaks
+    assert [(x.item_id, x.first_word, x.distance) for x in leaks] == [("mmlu/7", 1, 0)]

@@ -119,3 +119,13 @@ def test_deep_shallow_sort():
     assert strings == sorted(x.tobytes() for x in rows)
     for a, b, n in zip(strings, strings[1:], prefix[1:]):
         assert a[:n] == b[:n] and (n == 64 or a[n] != b[n])
+
+
+def test_words_under_text_ids(spark):
+    rows = grounding_texts()
+    name = lambda k: f"scene_frame_mug_p{k:05d}"
+    docs = spark.createDataFrame([(name(k), t) for k, t in rows], "sample_id string, text string").repartition(3)
+    numbers = {name(r.sample_id): r[1:] for r in remove_repeated_words(table(spark, rows)).collect()}
+    got = remove_repeated_words(docs).collect()
+    assert {r.sample_id: r[1:] for r in got} == numbers and any(r.n_removed for r in got)
+    assert remove_repeated_words(docs.limit(0)).count() == 0
